@@ -35,6 +35,7 @@ class Pieces:
         self.longest = max(map(len, strings))
         self.index = {s: k for k, s in enumerate(strings)}
         self.alphabet = {s for s in strings if len(s) == 1}
+        self.powers = np.cumprod(np.append(np.uint64(1), np.full(self.longest, _BASE)), dtype=np.uint64)
         self._build()
 
     @classmethod
@@ -78,10 +79,7 @@ class Pieces:
         return h
 
     def part(self, h: np.ndarray, row: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
-        power = np.ones(self.longest + 1, np.uint64)
-        for i in range(self.longest):
-            power[i + 1] = power[i] * _BASE
-        return h[row, start + n] - h[row, start] * power[n]
+        return h[row, start + n] - h[row, start] * self.powers[n]
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """Index of the piece with each hash, -1 if there is none."""
@@ -93,23 +91,23 @@ class Pieces:
     def edges(self, points: np.ndarray):
         """For each end position 1..width: list of (piece length, index of the piece in each row or -1), longest first."""
         h = self.hashes(points)
-        power = np.ones(1, np.uint64)
-        powers = [power]
-        for _ in range(self.longest):
-            powers.append(powers[-1] * _BASE)
         for end in range(1, points.shape[1] + 1):
-            yield end, [(n, self.find(h[:, end] - h[:, end - n] * powers[n])) for n in range(min(end, self.longest), 0, -1)]
+            yield end, [(n, self.find(h[:, end] - h[:, end - n] * self.powers[n])) for n in range(min(end, self.longest), 0, -1)]
 
 
 def units(text: str) -> list[str]:
-    """The strings between which no piece can run: a new one begins at each space (kept as MARK) and at each line end.
+    """The strings between which no piece can run: a new one begins at each space and at each line end.
 
-    Joined, they are the text with a space before it and with spaces as MARK. A MARK in the text itself becomes STRAY,
-    which valid text cannot hold and which is no piece, so it falls back to bytes.
+    A unit stands for itself with MARK before it, unless it begins with a line end: then it stands for itself. A MARK
+    in the text becomes STRAY, which valid text cannot hold and which is no piece, so it falls back to bytes.
     """
     if MARK in text:
         text = text.replace(MARK, STRAY)
-    return [u if u[:1] == "\n" else MARK + u for u in text.replace("\n", " \n").split(" ")]
+    return text.replace("\n", " \n").split(" ")
+
+
+def full(unit: str) -> str:
+    return unit if unit[:1] == "\n" else MARK + unit
 
 
 def utf8(c: str) -> bytes:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronotrack.llm.exact_dedup import exact_dedup
+from chronotrack.llm.language_id import held_out, identify_languages
+from chronotrack.llm.line_dedup import MIN_SITES, MIN_WORDS, line_dedup
+from chronotrack.llm.mixing import mix_sources, mixing_sql
+from chronotrack.llm.sentencepiece_scan import digest, encode_documents
 from chronotrack.llm.simhash import simhash_components
 
 
@@ -12,6 +16,20 @@ def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_sentencepiece(spark, sf_dir):
+    return digest(encode_documents(documents(spark, sf_dir)))
+
+
+def op4_mixing(spark, sf_dir):
+    return mix_sources(documents(spark, sf_dir)).select("doc_id", "n_tokens", "topic", F.round("keep_probability", 9).alias("keep_probability"), "sampled")
+
+
+def op5_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    out = identify_languages(docs, train=docs.where(~held_out(F.col("doc_id"), 5, 0)))
+    return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir))
 
@@ -20,15 +38,35 @@ def op9_simhash(spark, sf_dir):
     return simhash_components(documents(spark, sf_dir))
 
 
+def op10_line_dedup(spark, sf_dir):
+    out = line_dedup(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_mixing": op4_mixing,
+    "op5_language_id": op5_language_id,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_simhash": op9_simhash,
+    "op10_line_dedup": op10_line_dedup,
 }
 
+LINE_SQL = f"""
+with l as (select doc_id, coalesce('=' || source, 'none') as site, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
+k as (select *, trim(line, ' ' || chr(9) || chr(13)) as key from l),
+b as (select key, min(doc_id) as holder from k where length(key) - length(replace(key, ' ', '')) >= {MIN_WORDS - 1} group by key having count(distinct site) >= {MIN_SITES}),
+j as (select k.*, b.holder is not null and k.doc_id is distinct from b.holder as gone from k left join b using (key)),
+g as (select doc_id, count(*) as n_lines, count(*) filter (gone) as n_removed, coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '') as kept from j group by doc_id)
+select d.doc_id, coalesce(n_lines, 0)::int as n_lines, coalesce(n_removed, 0)::int as n_removed, length(kept) as kept_chars, sha256(kept) as kept_sha256
+from documents d left join g using (doc_id)"""
+
 ORACLES = {
+    "op4_mixing": mixing_sql(),
     "op7_exact_dedup": r"""
 with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
 select doc_id, min(doc_id) over g as keep_id, count(*) over g as group_size,
   doc_id is not distinct from min(doc_id) over g as kept, sha256(t) as text_sha256
 from n window g as (partition by t)""",
+    "op10_line_dedup": LINE_SQL,
 }

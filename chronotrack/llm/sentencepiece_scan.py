@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronotrack.llm._pieces import DEFAULT_MODEL, MARK, Pieces, code_points, units, utf8
+from chronotrack.llm._pieces import DEFAULT_MODEL, MARK, Pieces, code_points, full, units, utf8
 from chronotrack.llm._store import write_table
 
 NEVER = -(1 << 60)
@@ -21,7 +21,9 @@ CHUNK = 32768
 #: Chunks whose transfer matrices are multiplied together before the scan.
 BLOCK = 256
 #: Units kept per Python worker between rows.
-CACHE = 150_000
+CACHE = 400_000
+#: Characters of the texts whose units are solved together.
+TOGETHER = 2_000_000
 #: Units up to this many characters are solved together as arrays.
 SHORT = 40
 
@@ -30,14 +32,18 @@ class Encoder:
     def __init__(self, pieces: Pieces):
         self.p = pieces
         self.states = pieces.longest
-        self.cache: dict[str, tuple[int, ...]] = {}
+        #: Ids of each unit as little-endian 32-bit numbers.
+        self.cache: dict[str, bytes] = {}
         self.scores = np.append(pieces.score, NEVER)
         self.bytes = [b""] * pieces.size
+        #: Score by id; that of an unknown character stands at its first byte.
+        self.worth = np.zeros(pieces.size, np.int64)
         for b, i in enumerate(pieces.byte_ids):
             self.bytes[i] = bytes([b])
+            self.worth[i] = 0 if b >> 6 == 2 else pieces.unknown_score
+        self.worth[pieces.ids] = pieces.score
         for s, i in zip(pieces.strings, pieces.ids.tolist()):
             self.bytes[i] = s.replace(MARK, " ").encode()
-        self.cost: dict[str, int] = {}
 
     def spell(self, c: str) -> list[int]:
         return [self.p.byte_ids[b] for b in utf8(c)]
@@ -72,64 +78,82 @@ class Encoder:
         assert end == start
         return list(chain.from_iterable(reversed(parts)))
 
-    def scalar(self, u: str) -> None:
-        best, back = self.forward(u, len(u), [0])
-        self.cache[u], self.cost[u] = tuple(self.trace(u, back, len(u), 0)), best[len(u)]
+    def scalar(self, u: str) -> bytes:
+        u = full(u)
+        return np.array(self.trace(u, self.forward(u, len(u), [0])[1], len(u), 0), "<i4").tobytes()
 
     def learn(self, wanted: set[str]) -> None:
-        """Solve units that aren't in the cache; short ones together, position by position."""
-        if len(self.cache) + len(wanted) > CACHE:
-            self.cache.clear()
-            self.cost.clear()
-        short = sorted((u for u in wanted if len(u) <= SHORT), key=len)
+        """Put units into the cache; short ones are solved together, position by position."""
+        short = sorted((u for u in wanted if len(u) < SHORT), key=len)
         for u in wanted:
-            if len(u) > SHORT:
-                self.scalar(u)
+            if len(u) >= SHORT:
+                self.cache[u] = self.scalar(u)
         for k in range(0, len(short), 8192):
             self._together(short[k : k + 8192])
 
     def _together(self, block: list[str]) -> None:
-        n = np.array([len(u) for u in block])
-        rows, width = len(block), int(n.max())
-        best = np.full((rows, width + 1), NEVER, np.int64)
-        best[:, 0] = 0
-        size = np.zeros((rows, width + 1), np.int8)
-        which = np.full((rows, width + 1), -1, np.int32)
-        for end, options in self.p.edges(code_points(block, width)):
-            top, length, piece = best[:, end].copy(), size[:, end].copy(), which[:, end].copy()
+        whole = list(map(full, block))
+        n = np.fromiter(map(len, whole), np.int64, len(whole))
+        rows, width = len(whole), int(n.max())
+        best = np.full((width + 1, rows), NEVER, np.int64)
+        best[0] = 0
+        size = np.zeros((width + 1, rows), np.int8)
+        which = np.full((width + 1, rows), -1, np.int32)
+        for end, options in self.p.edges(code_points(whole, width)):
+            top, length, piece = best[end], size[end], which[end]
             for long, k in options:
-                x = best[:, end - long] + (self.scores[k] if long > 1 else np.where(k < 0, self.p.unknown_score, self.scores[k]))
+                x = best[end - long] + self.scores[k]
+                if long == 1:
+                    x = np.where(k < 0, best[end - 1] + self.p.unknown_score, x)
                 better = x > top
-                top[better], length[better], piece[better] = x[better], long, k[better]
-            best[:, end], size[:, end], which[:, end] = top, length, piece
-        at, steps = n.copy(), []
-        row = np.arange(rows)
+                np.copyto(top, x, where=better)
+                np.copyto(length, long, where=better)
+                np.copyto(piece, k, where=better)
+        at, steps, row = n.copy(), [], np.arange(rows)
         while (live := at > 0).any():
-            steps.append(np.where(live, which[row, at], -2))
-            at = at - np.where(live, size[row, at], 0)
+            steps.append(np.where(live, which[at, row], -2))
+            at = at - np.where(live, size[at, row], 0)
         path = np.array(steps[::-1]).T
+        used = path >= 0
+        ends = np.cumsum(used.sum(axis=1)) * 4
+        flat = self.p.ids[path[used]].astype("<i4").tobytes()
         odd = (path == -1).any(axis=1)
-        ids = np.where(path >= 0, self.p.ids[path], -1).tolist()
-        for u, bad, found, x in zip(block, odd.tolist(), ids, best[row, n].tolist()):
-            if bad:
-                self.scalar(u)
-            else:
-                self.cache[u], self.cost[u] = tuple(i for i in found if i >= 0), x
-
-    def ready(self, us: list[str]) -> None:
-        """Have all units in the cache; a full cache is emptied first, so that it holds these at least."""
-        wanted = set(us)
+        self.cache.update(zip(block, [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]))
+        for r in np.nonzero(odd)[0].tolist():
+            self.cache[block[r]] = self.scalar(block[r])
+
+    def ready(self, wanted: set[str]) -> None:
+        """Have all these units in the cache; a full cache is emptied first."""
         if new := wanted.difference(self.cache):
             if len(self.cache) + len(new) > CACHE:
+                self.cache.clear()
                 new = wanted
             self.learn(new)
 
-    def encode(self, us: list[str]) -> tuple[list[int], int]:
-        self.ready(us)
-        return list(chain.from_iterable(map(self.cache.__getitem__, us))), sum(map(self.cost.__getitem__, us))
+    def join(self, us: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.cache.__getitem__, us)), "<i4")
+
+    def encode(self, us: list[str]) -> np.ndarray:
+        self.ready(set(us))
+        return self.join(us)
+
+    def encode_many(self, texts: list[str | None]):
+        """Ids of each text; texts are taken together until they hold TOGETHER characters."""
+        at = 0
+        while at < len(texts):
+            group, chars = [], 0
+            while at < len(texts) and chars < TOGETHER:
+                group.append(units(texts[at]) if texts[at] else [])
+                chars += len(texts[at] or "")
+                at += 1
+            self.ready(set(chain.from_iterable(group)))
+            yield from map(self.join, group)
+
+    def score(self, ids: np.ndarray) -> int:
+        return int(self.worth[ids].sum())
 
     def decode(self, ids) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")[1:]
+        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode()[1:]
 
     # Chunks of giant documents. A state is the number of a chunk's first characters that a piece of the chunk before
     # it has covered already; a transfer matrix holds the best score for each state at the start and at the end.
@@ -149,7 +173,7 @@ class Encoder:
                 m[e, : 1 + len(ahead)] = best[len(body) : len(body) + s]
             return m
         middle = body[first:last]
-        inner = self.encode(self.split(middle))[1] if middle else 0
+        inner = self.score(self.encode(self.split(middle))) if middle else 0
         tail, _ = self.forward(body[last:] + ahead, len(body) - last, [0])
         tail = np.array(tail[len(body) - last :][:s], np.int64)
         for e in range(min(s, first + 1)):
@@ -160,7 +184,7 @@ class Encoder:
     @staticmethod
     def split(joined: str) -> list[str]:
         """Units of a string that begins with one."""
-        return [u if u[:1] == "\n" else MARK + u for u in joined.replace("\n", MARK + "\n").split(MARK)[1:]]
+        return joined.replace("\n", MARK + "\n").split(MARK)[1:]
 
     def chunk_ids(self, body: str, ahead: str, entry: int, leave: int) -> list[int]:
         first, last = self.cut(body)
@@ -168,7 +192,7 @@ class Encoder:
             _, back = self.forward(body + ahead, len(body), [NEVER] * entry + [0])
             return self.trace(body + ahead, back, len(body) + leave, entry)
         head = self.trace(body[:first], self.forward(body[:first], first, [NEVER] * entry + [0])[1], first, entry) if entry < first else []
-        middle = self.encode(self.split(body[first:last]))[0] if last > first else []
+        middle = self.encode(self.split(body[first:last])).tolist() if last > first else []
         tail = body[last:] + ahead
         _, back = self.forward(tail, len(body) - last, [0])
         return head + middle + self.trace(tail, back, len(body) - last + leave, 0)
@@ -211,11 +235,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def whole(batches):
         enc = encoder(model)
         for b in batches:
-            out, score = [], []
-            for t in b.column(1).to_pylist():
-                ids, x = enc.encode(units(t)) if t else ([], 0)
-                out.append(np.array(ids, np.int32))
-                score.append(x)
+            out = list(enc.encode_many(b.column(1).to_pylist()))
+            score = list(map(enc.score, out))
             yield _ids_batch([b.column(0)], ["doc_id"], out, score)
 
     done = small.mapInArrow(whole, f"doc_id {id_type}, ids array<int>, score long")
@@ -241,7 +262,7 @@ def _giant(rows: DataFrame, id_type: str, model: str, chunk: int) -> DataFrame:
         enc = encoder(model)
         for b in batches:
             for doc, text, row in zip(b.column(0), b.column(1).to_pylist(), b.column(2)):
-                parts = chunks("".join(units(text)), chunk, enc.states)
+                parts = chunks("".join(map(full, units(text))), chunk, enc.states)
                 for k in range(0, len(parts), 64):
                     some = parts[k : k + 64]
                     n = len(some)
@@ -317,7 +338,7 @@ def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str =
         enc = encoder(model)
         for b in batches:
             ids = b.column(1)
-            texts = [enc.decode(x) if x else "" for x in ids.to_pylist()]
+            texts = [enc.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid and len(x) else "" for x in ids]
             yield pa.record_batch([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     id_type = encoded.schema[id_col].dataType.simpleString()
@@ -336,7 +357,7 @@ def digest(encoded: DataFrame, id_col: str = "doc_id", model: str = DEFAULT_MODE
                 ids = x.values.to_numpy(zero_copy_only=False).astype("<i4") if x.is_valid else np.zeros(0, "<i4")
                 n.append(len(ids))
                 own.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                text.append(hashlib.sha256((enc.decode(ids.tolist()) if len(ids) else "").encode()).hexdigest())
+                text.append(hashlib.sha256((enc.decode(ids) if len(ids) else "").encode()).hexdigest())
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), b.column(2), pa.array(own), pa.array(text)], names=["doc_id", "n_ids", "score", "ids_sha256", "text_sha256"])
 
     id_type = encoded.schema[id_col].dataType.simpleString()
