@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from chronotrack.llm.exact_dedup import exact_dedup
 from chronotrack.llm.language_id import held_out, identify_languages
 from chronotrack.llm.line_dedup import MIN_SITES, MIN_WORDS, line_dedup
+from chronotrack.llm.lm_score import lm_scores
 from chronotrack.llm.mixing import mix_sources, mixing_sql
 from chronotrack.llm.sentencepiece_scan import digest, encode_documents
 from chronotrack.llm.simhash import simhash_components
@@ -34,6 +35,12 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op8_lm_score(spark, sf_dir):
+    rest = held_out(F.col("doc_id"), 5, 1)
+    out = lm_scores(documents(spark, sf_dir), ~rest)
+    return out.select("doc_id", rest.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op9_simhash(spark, sf_dir):
     return simhash_components(documents(spark, sf_dir))
 
@@ -48,6 +55,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_language_id": op5_language_id,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_lm_score": op8_lm_score,
     "op9_simhash": op9_simhash,
     "op10_line_dedup": op10_line_dedup,
 }
