@@ -11,12 +11,19 @@ from chronotrack.llm.lm_score import lm_scores
 from chronotrack.llm.mixing import mix_sources, mixing_sql
 from chronotrack.llm.sentencepiece_scan import digest, encode_documents
 from chronotrack.llm.simhash import simhash_components
+from chronotrack.llm.toxicity import toxicity
 
 
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_toxicity(spark, sf_dir):
+    rest = held_out(F.col("doc_id"), 4, 2)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity(documents(spark, sf_dir), labels.where(~rest)).select("doc_id", rest.alias("held_out"), "score", "predicted")
+
+
 def op3_sentencepiece(spark, sf_dir):
     return digest(encode_documents(documents(spark, sf_dir)))
 
@@ -51,6 +58,7 @@ def op10_line_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_mixing": op4_mixing,
     "op5_language_id": op5_language_id,
