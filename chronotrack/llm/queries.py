@@ -6,18 +6,25 @@ from pyspark.sql import functions as F
 
 from chronotrack.llm.exact_dedup import exact_dedup
 from chronotrack.llm.language_id import held_out, identify_languages
+from chronotrack.llm.license_scan import license_scan
 from chronotrack.llm.line_dedup import MIN_SITES, MIN_WORDS, line_dedup
 from chronotrack.llm.lm_score import lm_scores
 from chronotrack.llm.mixing import mix_sources, mixing_sql
 from chronotrack.llm.sentencepiece_scan import digest, encode_documents
 from chronotrack.llm.simhash import simhash_components
 from chronotrack.llm.toxicity import toxicity
+from chronotrack.llm.webp import media_column, media_digest
 
 
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_license_scan(spark, sf_dir):
+    out = license_scan(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", F.size("matches").alias("n_matches"), F.array_join("matches.template", ",").alias("templates"), "matches")
+
+
 def op2_toxicity(spark, sf_dir):
     rest = held_out(F.col("doc_id"), 4, 2)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -38,6 +45,10 @@ def op5_language_id(spark, sf_dir):
     return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
 
 
+def op6_webp(spark, sf_dir):
+    return media_digest(media_column(documents(spark, sf_dir)))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir))
 
@@ -58,10 +69,12 @@ def op10_line_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_toxicity": op2_toxicity,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_mixing": op4_mixing,
     "op5_language_id": op5_language_id,
+    "op6_webp": op6_webp,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_lm_score": op8_lm_score,
     "op9_simhash": op9_simhash,
