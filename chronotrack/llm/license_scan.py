@@ -18,6 +18,8 @@ CONTAINMENT = 0.8
 RECALL = 0.9999
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 CACHE = 400_000
+#: Bytes of the texts that are scanned together.
+TOGETHER = 1_000_000
 MATCHES = "array<struct<template:string,first_word:long,containment:double>>"
 
 #: Public licence notices: the words to look for (fixed values).
@@ -68,8 +70,7 @@ class Group:
         self.signatures = np.zeros((0, self.bands), np.uint64)
 
     def values(self, h: np.ndarray, band: int) -> np.ndarray:
-        x = h * self.multiply[band] + self.add[band]
-        return x ^ (x >> np.uint64(31))
+        return h * self.multiply[band] + self.add[band]
 
     def put(self, name: str, shingles: frozenset, h: np.ndarray) -> None:
         self.templates.append((name, shingles))
@@ -81,15 +82,15 @@ class Group:
         blocks = -(-max(len(h), self.length) // self.step)
         found = set()
         per = self.length // self.step
+        v = np.full(max(blocks, windows + per - 1) * self.step, np.iinfo(np.uint64).max, np.uint64)
         for b in range(self.bands):
-            v = np.full(max(blocks, windows + per - 1) * self.step, np.iinfo(np.uint64).max, np.uint64)
-            v[: len(h)] = self.values(h, b)
+            own = v[: len(h)]
+            np.multiply(h, self.multiply[b], out=own)
+            own += self.add[b]
             low = v.reshape(-1, self.step).min(axis=1) if self.step > 1 else v
             low = functools.reduce(np.minimum, [low[k : k + windows] for k in range(per)])
             for t, s in enumerate(self.signatures[:, b]):
-                hit = np.nonzero(low == s)[0]
-                if len(hit):
-                    found.update((int(w), t) for w in hit)
+                found.update((w, t) for w in np.nonzero(low == s)[0].tolist())
         return sorted(found)
 
 
@@ -127,27 +128,54 @@ class Scanner:
             x = (x ^ h[i : i + n]) * np.uint64(0x9E3779B185EBCA87)
         return x
 
-    def scan(self, text: bytes | None) -> list[dict]:
-        """Matches in the whole text, each template once, where it is contained best (the first place of equal ones)."""
-        w = words(text or b"")
-        if not w:
-            return []
-        h, made, best = self.hashes(w), {}, {}
+    def scan(self, texts: list[bytes | None]) -> list[tuple[int, list[dict]]]:
+        """Number of words and matches of each whole text, each template once, where it is contained best (the first place of equal ones).
+
+        Texts are taken together until they hold TOGETHER bytes: windows run over all their shingles one after the other,
+        and what a window finds is verified inside each text by itself.
+        """
+        out, at = [], 0
+        while at < len(texts):
+            group, size = [], 0
+            while at < len(texts) and size < TOGETHER:
+                group.append(words(texts[at] or b""))
+                size += len(texts[at] or b"")
+                at += 1
+            out += self._together(group)
+        return out
+
+    def _together(self, group: list[list[bytes]]) -> list[tuple[int, list[dict]]]:
+        h = self.hashes([x for w in group for x in w])
+        n = np.array([len(w) for w in group])
+        ends = np.cumsum(n)
+        best: list[dict] = [{} for _ in group]
+        made = {}
         for g in self.groups:
-            if g.shingle not in made:
-                made[g.shingle] = self.shingles(h, g.shingle)
-            own = made[g.shingle]
+            k = g.shingle
+            if k not in made:
+                per = np.maximum(n - k + 1, 0)
+                stop = np.cumsum(per)
+                inside = np.ones(len(h), bool)
+                for i in range(k - 1):
+                    cut = ends - 1 - i
+                    inside[cut[n > i]] = False
+                made[k] = (self.shingles(h, k)[inside[: max(0, len(h) - k + 1)]], stop - per, stop)
+            own, start, stop = made[k]
             if not len(own):
                 continue
-            for at, t in g.candidates(own):
+            for window, t in g.candidates(own):
                 name, wanted = g.templates[t]
-                begin = at * g.step
-                here = {tuple(w[i : i + g.shingle]) for i in range(begin, min(begin + g.length, len(own)))}
-                share = len(wanted & here) / len(wanted)
-                if share >= CONTAINMENT and share > best.get(name, (0.0, 0))[0]:
-                    first = next(i for i in range(begin, begin + g.length) if tuple(w[i : i + g.shingle]) in wanted)
-                    best[name] = (share, first)
-        return [{"template": n, "first_word": p, "containment": s} for n, (s, p) in sorted(best.items())]
+                begin = window * g.step
+                end = min(begin + g.length, len(own))
+                for d in range(int(np.searchsorted(stop, begin, "right")), len(group)):
+                    if start[d] >= end:
+                        break
+                    w, a, b = group[d], max(begin - int(start[d]), 0), min(end, int(stop[d])) - int(start[d])
+                    here = [tuple(w[i : i + k]) for i in range(a, b)]
+                    share = len(wanted.intersection(here)) / len(wanted)
+                    if share >= CONTAINMENT and share > best[d].get(name, (0.0, 0))[0]:
+                        best[d][name] = (share, next(a + i for i, s in enumerate(here) if s in wanted))
+        return [(int(c), [{"template": x, "first_word": p, "containment": s} for x, (s, p) in sorted(found.items())]) for c, found in zip(n, best)]
 
 
 _scanners: dict[tuple, Scanner] = {}
@@ -172,9 +200,8 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", t
         one = _scanners[fixed]
         kind = pa.list_(pa.struct([("template", pa.string()), ("first_word", pa.int64()), ("containment", pa.float64())]))
         for b in batches:
-            texts = b.column(1).cast(pa.binary()).to_pylist()
-            n = pa.array([len(words(t)) if t else 0 for t in texts], pa.int64())
-            yield pa.record_batch([b.column(0), n, pa.array([one.scan(t) for t in texts], kind)], names=["doc_id", "n_words", "matches"])
+            got = one.scan(b.column(1).cast(pa.binary()).to_pylist())
+            yield pa.record_batch([b.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array([m for _, m in got], kind)], names=["doc_id", "n_words", "matches"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
