@@ -195,8 +195,9 @@ def anchor_mappings(pts: DataFrame, sensor: DataFrame, offsets: DataFrame, key:
     """Each offset's mapping: residuals and the first gate that rejects it (null: it survives)."""
     k_type = pts.schema[key].dataType.simpleString()
     schema = f"{key} {k_type}, offset long, max_residual long, median_residual long, mapping array<long>, reason string"
-    offs = offsets.groupBy(key).agg(F.array_sort(F.collect_set("offset")).alias("offsets"))
-    merged = pts.select(key, at).join(offs, key)
+    offs = offsets.groupBy(F.col(key).alias("__k")).agg(F.array_sort(F.collect_set("offset")).alias("offsets"))
+    own = pts.select(F.col(key).alias("__p"), at)
+    merged = own.join(offs, F.col("__p") == F.col("__k")).select(F.col("__p").alias(key), at, "offsets")
 
     def fold(k, a, b):
         x, y = np.sort(a[at].to_numpy(np.int64)), np.sort(b[bt].to_numpy(np.int64))

@@ -28,3 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Import every module that registers queries."""
+    from chronotrack.plans import queries_kernels, queries_scalar, queries_timing  # noqa: F401

@@ -12,13 +12,14 @@ from chronotrack.operators.estimate import RECORDED, EstimateConfig, estimate
 from chronotrack.operators.images import BlobConfig, MotionConfig, detect_blobs, detect_in_clips, sequence_identity, signature_verdict, signatures, single_blob
 from chronotrack.operators.pairing import constant_offset, lookup
 from chronotrack.operators.track import TrackConfig, assign_runs, best_run, budget_reason, extract_track, reduce_candidates
+from chronotrack.session import reused
 from chronotrack.sources.frames import time_window
 
 
 def _samples(blobs: DataFrame, directional: bool, track: TrackConfig) -> DataFrame:
     if directional:
         return reduce_candidates(blobs, track)
-    s = single_blob(blobs)
+    s = single_blob(reused(blobs))
     why = extract_track(s, "clip_id", track.jump, track.interior_misses, 4)
     good = s.where("blob is not null").join(why.where("reason is null").select("clip_id"), "clip_id", "left_semi")
     rows = good.select("clip_id", F.lit(None).cast("string").alias("reason"), "frame_index", "t_s", F.col("blob.cx").alias("x"), F.col("blob.cy").alias("y"), (2 * F.sqrt(F.col("blob.area") / 3.141592653589793)).alias("diameter"))
@@ -35,6 +36,7 @@ def estimate_from_frames(frames: DataFrame, calibration: DataFrame, blob: BlobCo
 
 
 def _estimate_samples(found: DataFrame, calibration: DataFrame, config: EstimateConfig, timing: str, interval: float | None) -> DataFrame:
+    found = reused(found)
     good = found.where("reason is null")
     args = (good, "clip_id", "frame_index", "t_s", "x", "y", "diameter", calibration, "pixels", "feet", config)
     out = estimate(*args, frame_interval=interval if timing == "REQUIRE_VISUAL" else None)
@@ -68,7 +70,7 @@ def motion_scout(hits: DataFrame, radius: float = 12.0, gap: int = 2, pad: int =
 
 def recorded_estimate(frames: DataFrame, calibration: DataFrame, detector: str = "motion", config: EstimateConfig | None = None, motion: MotionConfig | None = None, track: TrackConfig | None = None) -> DataFrame:
     """Recorded clips (pixels: luma): detector, candidate selection, estimate with the recorded profile."""
-    blobs = detect_in_clips(frames, detector, motion)
+    blobs = reused(detect_in_clips(frames, detector, motion))
     refused = blobs.where("kind is not null").groupBy("clip_id").agg(F.min("kind").alias("reason"))
     found = reduce_candidates(blobs.where("kind is null"), track)
     null = [F.lit(None).cast(x.dataType).alias(x.name) for x in found.schema.fields if x.name not in ("clip_id", "reason")]

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | None = None, **extra: str) -> SparkSession:
@@ -23,3 +24,11 @@ def local_session(cpus: int | None = None, **extra: str) -> SparkSession:
     spark = SparkSession.builder.master(f"local[{cpus}]").appName("chronotrack").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def reused(df: DataFrame) -> DataFrame:
+    """A result of Python kernels that several branches of a plan read: computed once, kept in memory or on disk.
+
+    Lost parts are computed again from their lineage.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
