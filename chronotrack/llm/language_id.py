@@ -149,7 +149,8 @@ class Scorer:
                 group.append(units(t.lower()) if t and any(map(str.isalpha, t)) else None)
                 chars += len(t or "")
                 at += 1
-            self.ready({u for g in group if g for u in g})
+            if self.langs:
+                self.ready({u for g in group if g for u in g})
             for g in group:
                 if g is None or not self.langs:
                     names.append(UNDECIDED)

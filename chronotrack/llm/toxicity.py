@@ -70,7 +70,7 @@ def ordinary_content(ordinary: list[bytes]) -> bytes:
     random.Random(7).shuffle(ws)
     try:
         return zstd.train_dictionary(ORDINARY_BYTES, ws[:TRAIN_WINDOWS]).as_bytes()
-    except zstd.ZstdError:  # too little text to train on: the text itself is the dictionary
+    except (zstd.ZstdError, ValueError):  # too little text to train on: the text itself is the dictionary
         return b" ".join(ws)[:ORDINARY_BYTES]
 
 
