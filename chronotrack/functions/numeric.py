@@ -172,17 +172,18 @@ def elapsed_ns_to_sample(ns, anchor_sample, anchor_ns, rate, max_age_ns) -> Colu
 
 
 def shift_range(frames, sensors) -> Column:
-    """Whole-frame shifts to try: one either way, or the mismatch of counts and two more."""
+    """Whole-frame shifts to try: one either way for counts that differ by one at most, else the mismatch and two more."""
     d = F.abs(c(frames) - c(sensors))
-    n = F.when(d == 0, F.lit(1)).otherwise(d + 2).cast("int")
+    n = F.when(d <= 1, F.lit(1)).otherwise(d + 2).cast("int")
     return F.sequence(-n, n)
 
 
-def burst_ms(x, least: int = 500, most: int = 5000) -> Column:
-    return F.least(F.greatest(c(x), F.lit(least)), F.lit(most))
+def burst_ms(x, default: int = 2500, most: int = 8000) -> Column:
+    """Burst duration: the default for none, at most ``most``."""
+    return F.when(c(x) <= 0, F.lit(default)).otherwise(F.least(c(x), F.lit(most)))
 
 
-def backoff_ms(errors, base: int = 250, cap: int = 8000) -> Column:
+def backoff_ms(errors, base: int = 350, cap: int = 2800) -> Column:
     """base, doubled with each further error, up to cap."""
     return F.least(F.lit(base) * F.pow(F.lit(2), F.least(F.greatest(c(errors), F.lit(1)), F.lit(20)) - 1).cast("long"), F.lit(cap)).cast("long")
 
@@ -281,7 +282,7 @@ def even_positions(n, k) -> Column:
 
 
 def interior_positions(n) -> Column:
-    """Up to three interior positions, at the quarters."""
+    """All interior positions if there are three at most, else three, evenly spread."""
     n = c(n).cast("int")
-    three = F.array_distinct(F.array(*[F.floor(n * F.lit(q) / 4).cast("int") for q in (1, 2, 3)]))
-    return F.when(n < 3, F.array().cast("array<int>")).otherwise(F.filter(three, lambda i: (i > 0) & (i < n - 1)))
+    three = F.array_distinct(F.array(*[(F.lit(1) + F.floor((n - 3) * q / 4)).cast("int") for q in (1, 2, 3)]))
+    return F.when(n <= 2, F.array().cast("array<int>")).when(n <= 5, F.sequence(F.lit(1), n - 2)).otherwise(three)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from chronotrack.functions.numeric import c, is_finite
 
-COMMANDS = ("shoot", "fire", "capture", "go")
+# Fixed words of the voice commands.
+SHOOT, RECORD, CLEAR = ("shoot",), ("record", "cheese", "smile"), ("clear", "reset", "restart")
 #: Recorder files, fixed pattern.
 RECORDING = r"^recording-[0-9]+\.mp4$"
 
@@ -26,7 +27,7 @@ def log_token(text) -> Column:
     return F.regexp_replace(c(text), r"[^A-Za-z0-9._-]", "_")
 
 
-def is_command(text, commands: tuple[str, ...] = COMMANDS) -> Column:
+def is_command(text, commands: tuple[str, ...] = SHOOT) -> Column:
     """Whether any word of the text is a command."""
     return F.arrays_overlap(F.split(F.lower(c(text)), "[^a-z]+"), F.array(*[F.lit(x) for x in commands]))
 

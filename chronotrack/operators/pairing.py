@@ -57,7 +57,7 @@ def whole_frame_ambiguous(offset, gap, tolerance: int = 1000) -> Column:
     """Whether an offset of half a frame or more lies within the tolerance of a whole number of frames."""
     o, g = F.abs(c(offset)), c(gap)
     r = F.pmod(o, g)
-    return (o * 2 >= g) & (F.least(r, g - r) <= tolerance)
+    return (o >= F.floor(g / 2)) & (F.least(r, g - r) <= tolerance)
 
 
 def nearest(a: DataFrame, b: DataFrame, key: str, at: str, bt: str) -> DataFrame:

@@ -48,8 +48,8 @@ def gap_diagnostics(df: DataFrame, key: str, ts: str, expected: Column, distinct
     seen = df.groupBy(key).agg(F.count_if(F.col(ts) > 0).alias("positive_count")) if distinct else df.groupBy(key).agg(F.count(F.lit(1)).alias("positive_count"))
     g = gaps(base, key, ts, order).groupBy(key).agg(F.count(F.lit(1)).alias("kept_count"), F.median("gap").alias("median_gap"), F.max("gap").alias("max_gap"))
     return g.join(seen, key).withColumns({
-        "in_band": F.col("median_gap").between(expected * (1 - BAND), expected * (1 + BAND)),
-        "no_drop": F.col("max_gap") <= expected * DROP,
+        "in_band": F.coalesce(F.col("median_gap").between(expected * (1 - BAND), expected * (1 + BAND)), F.lit(False)),
+        "no_drop": F.coalesce(F.col("max_gap") <= expected * DROP, F.lit(True)),
     })
 
 
@@ -144,7 +144,7 @@ def nominal_times(df: DataFrame, key: str, order: str, interval) -> DataFrame:
     return df.withColumn("t", (F.row_number().over(_over(key, order)) - 1) * c(interval))
 
 
-def frame_delta_times(df: DataFrame, key: str, order: str, x: str, y: str, interval, least: float = 1e-9) -> DataFrame:
+def frame_delta_times(df: DataFrame, key: str, order: str, x: str, y: str, interval, least: float = 1e-6) -> DataFrame:
     """Times inferred from displacements: the smallest one is one frame, the others the nearest whole number (1 at least)."""
     w = _over(key, order)
     d = F.hypot(F.col(x) - F.lag(x).over(w), F.col(y) - F.lag(y).over(w))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronotrack.functions import colour as C
 from chronotrack.functions.numeric import normalise_hue, tidy
 from chronotrack.operators import images as I
+from chronotrack.operators import modes as Y
 from chronotrack.operators import physics as B
 from chronotrack.operators import timing as G
 from chronotrack.operators import track as T
@@ -156,7 +157,7 @@ def pair_hypotheses(spark, d):
     return h.select("user_id", "a_blob_id", "b_blob_id", tidy("travel").alias("travel"), "direction", tidy("span").alias("span"))
 
 
-@query("best_inlier_per_frame", _HY + """, i as (select h.user_id, a_id, b_id, b.frame_order, b.blob_id, abs((by_-ay)*b.x-(bx-ax)*b.y+bx*ay-by_*ax)/span as dist, (b.x-ax)*dir as along, travel from h join b on b.user_id=h.user_id and b.frame_order between fa and fb), k as (select *, row_number() over (partition by user_id, a_id, b_id, frame_order order by dist, blob_id) as rn from i where dist<=3 and along between -1 and travel+1)
+@query("best_inlier_per_frame", _HY + """, i as (select h.user_id, a_id, b_id, b.frame_order, b.blob_id, abs((by_-ay)*b.x-(bx-ax)*b.y+bx*ay-by_*ax)/span as dist, (b.x-ax)*dir as along, travel from h join b on b.user_id=h.user_id and b.frame_order between fa and fb), k as (select *, row_number() over (partition by user_id, a_id, b_id, frame_order order by dist, blob_id) as rn from i where dist<=8 and along between -1 and travel+1)
 select user_id, a_id as a_blob_id, b_id as b_blob_id, count(*) as inliers, round(sum(dist),4)+0.0 as dist from k where rn=1 group by 1,2,3 having count(*)>=4""")
 def best_inlier_per_frame(spark, d):
     b = blob_rows(spark, d)
@@ -203,7 +204,7 @@ def budget_gate(spark, d):
     return T.budget_reason(b, "clip", 2, 12).select("clip", F.col("most").cast("long").alias("most"), F.col("all").alias("all_blobs"), "reason")
 
 
-@query("shape_penalty", "select l_orderkey, l_linenumber, round(greatest(0.0, greatest(l_quantity%9+1,l_linenumber)/greatest(least(l_quantity%9+1,l_linenumber),1)-3.0)+2*greatest(0.0,0.35-l_discount*5),6)+0.0 as penalty from lineitem")
+@query("shape_penalty", "select l_orderkey, l_linenumber, round(greatest(0.0, greatest(l_quantity%9+1,l_linenumber)/greatest(least(l_quantity%9+1,l_linenumber),1)-4.0)+2*greatest(0.0,0.35-l_discount*5),6)+0.0 as penalty from lineitem")
 def shape_penalty(spark, d):
     li = table(spark, d, "lineitem").withColumns({"z": F.lit(0), "r": F.col("l_quantity") % 9, "b": F.col("l_linenumber") - 1, "c": F.col("l_discount") * 5})
     return li.select("l_orderkey", "l_linenumber", tidy(T.shape_penalty("z", "z", "r", "b", "c")).alias("penalty"))
@@ -348,3 +349,98 @@ def impact_chunks(spark, d):
     c = li.groupBy(F.col("l_suppkey").cast("string").alias("session_id"), F.floor(F.col("i") / 32).alias("seq")).agg(F.array_sort(F.collect_list(F.struct("i", amp.alias("a")))).alias("s"))
     rows = c.select("session_id", "seq", F.lit("samples").alias("kind"), F.transform("s", lambda x: x.a).alias("amps"), F.lit(None).cast("long").alias("ready"), F.lit(None).cast("long").alias("accept"))
     return M.detect_batch(rows, TriggerConfig(baseline=20, window=4, peak_delta=100, floor_rms=25.0, ready=100, accept=120, longest=20_000, actionable=5_000))
+
+
+# --- modes and contracts
+
+
+_MO = "with r as (select l_suppkey%9 as cam, [1280,1920,640][1+l_partkey%3] as w, [720,1080,480][1+l_partkey%3] as h, case when l_linenumber%2=0 then 120 else 240 end as high, case when l_orderkey%4=0 then (case when l_linenumber%2=0 then 120 else 240 end) else (l_orderkey%90)::int end as low, l_orderkey*10000+l_partkey as seq from lineitem)"
+
+
+def _ranges(spark, d):
+    li = table(spark, d, "lineitem")
+    high = F.when(F.col("l_linenumber") % 2 == 0, 120).otherwise(240)
+    pick = lambda *v: F.get(F.array(*[F.lit(x) for x in v]), (F.col("l_partkey") % 3).cast("int"))
+    return li.select((F.col("l_suppkey") % 9).alias("cam"), pick(1280, 1920, 640).alias("w"), pick(720, 1080, 480).alias("h"), high.alias("high"), F.when(F.col("l_orderkey") % 4 == 0, high).otherwise(F.col("l_orderkey") % 90).cast("int").alias("low"), (F.col("l_orderkey") * 10000 + F.col("l_partkey")).alias("seq"))
+
+
+@query("mode_mapping", _MO + ", m as (select cam, w, h, high as fps, min_by(low, row(case when low<>high then 1 else 0 end, abs(low-high), seq)) as low from r where w in (1280,1920) group by 1,2,3,4) select cam, w, h, fps, low, low=fps as recordable from m")
+def mode_mapping(spark, d):
+    return Y.map_modes(_ranges(spark, d), ["cam"]).select("cam", "w", "h", "fps", "low", "recordable")
+
+
+@query("default_mode", _MO + ", m as (select cam, w, h, high as fps, bool_or(low=high) as fixed from r where w in (1280,1920) and high=120 group by 1,2,3,4) select cam, min(w) as w from m where fixed group by 1")
+def default_mode(spark, d):
+    return Y.default_mode(Y.map_modes(_ranges(spark, d), ["cam"]), "cam").select("cam", "w")
+
+
+@query("capture_start", "select o_orderkey, case when o_orderstatus='O' then 'CAPTURE_BUSY' when not (o_custkey%2=0 and o_custkey%3=0) then 'UNSUPPORTED_MODE' end as reason from orders")
+def capture_start(spark, d):
+    o = table(spark, d, "orders")
+    req = o.select("o_orderkey", F.when(F.col("o_orderstatus") == "O", "BUSY").otherwise("IDLE").alias("state"), F.lit(1).alias("cam"), F.lit(1280).alias("w"), F.lit(720).alias("h"), F.when(F.col("o_custkey") % 2 == 0, 120).otherwise(240).alias("fps"), F.when(F.col("o_custkey") % 3 == 0, 120).otherwise(60).alias("low"))
+    modes = spark.createDataFrame([(1, 1280, 720, 120, 120, True)], "cam int, w int, h int, fps int, low int, recordable boolean")
+    return Y.start_reason(req, modes, ["cam"]).select("o_orderkey", "reason")
+
+
+@query("range_flatten", "select s_suppkey, w, h, low, high from supplier, (values (1280,720),(1920,1080)) z(w,h), (values (30,120),(120,120),(60,240)) r(low,high)")
+def range_flatten(spark, d):
+    z = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(h).alias("h")) for w, h in Y.SIZES])
+    r = F.array(*[F.struct(F.lit(a).alias("low"), F.lit(b).alias("high")) for a, b in ((30, 120), (120, 120), (60, 240))])
+    return Y.flatten_ranges(table(spark, d, "supplier").select("s_suppkey", z.alias("z"), r.alias("r2")), "s_suppkey", "z", "r2")
+
+
+@query("proof_variants", "select id, surfaces, case when contains(surfaces,'COMPANION')<>starts_with(shape,'COMPANION') then 'SHAPE_MISMATCH' end as reason from (values ('companion-gl','COMPANION_ENCODER','COMPANION_ENCODER,DIRECT_GL_READBACK'),('direct-gl-first','COMPANION_ENCODER_REVERSED','DIRECT_GL_READBACK,COMPANION_ENCODER'),('pbo-gl-readback','COMPANION_ENCODER_REVERSED','DIRECT_GL_READBACK,COMPANION_ENCODER'),('direct-gl-only','DIRECT_ONLY','DIRECT_GL_READBACK'),('constrained-image-reader','CONSTRAINED_IMAGE_READER','IMAGE_READER'),('constrained-private-image-reader','CONSTRAINED_PRIVATE_IMAGE_READER','IMAGE_READER'),('standard-image-reader','STANDARD_IMAGE_READER','IMAGE_READER')) v(id,shape,surfaces)")
+def proof_variants(spark, d):
+    v = Y.variants(spark)
+    return v.select("id", "surfaces", Y.variant_reason(F.col("shape"), F.col("constrained"), F.col("surfaces")).alias("reason"))
+
+
+@query("workflow_readiness", "select c_custkey, case when c_custkey%2=0 then 'PERMISSION' when c_custkey%3=0 then 'GEOMETRY' when c_custkey%5=0 then 'SCALE' when c_custkey%7=0 then 'LEVEL' when c_custkey%11=0 then 'COLOUR' end as missing, case when c_nationkey=0 then 'NO_FRAME' when c_acctbal<0 then 'INVALID_SAMPLE' when c_nationkey<5 then 'REGION_OUTSIDE' end as colour from customer")
+def workflow_readiness(spark, d):
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    a = Y.readiness(k % 2 != 0, k % 3 != 0, k % 5 != 0, k % 7 != 0, k % 11 != 0)
+    b = Y.colour_readiness(n, n, F.when(F.col("c_acctbal") < 0, 400.0).otherwise(20.0), F.lit(0.5), F.lit(0.5), F.lit(4), F.lit(9))
+    return table(spark, d, "customer").select("c_custkey", a.alias("missing"), b.alias("colour"))
+
+
+@query("success_contract", """select event_id, case when event_id%17=0 then 'NON_FINITE_RESULT' when event_id%13=0 then 'INSUFFICIENT_DETECTIONS' when event_id%11=0 then 'BAD_TIMESTAMPS' when event_id%7=0 then 'EXCESSIVE_RESIDUAL' when event_id%5=0 then 'AMBIGUOUS_TRACK' when event_id%3=0 then 'PLANAR_ASSUMPTION_VIOLATED' when event_id%2=0 then 'BAD_CALIBRATION' end as reason from events""")
+def success_contract(spark, d):
+    e = F.col("event_id")
+    said = F.when(e % 3 == 0, F.array(F.lit("none"))).otherwise(F.array(F.lit("Motion in the Calibrated image plane")))
+    r = Y.success_reason(
+        F.when(e % 17 == 0, float("nan")).otherwise(60.0), F.lit(10.0), F.lit(4.0), F.lit(9), F.when(e % 13 == 0, 0).otherwise(6), F.when(e % 11 == 0, F.lit(None).cast("double")).otherwise(0.01), F.lit(0.02), F.when(e % 7 == 0, -1.0).otherwise(0.5),
+        F.when(e % 5 != 0, "HIGH"), said, F.lit("REAL"), F.when(e % 2 == 0, "BALL_DIAMETER_SELF_CALIBRATION").otherwise("DISTANCE_CALIBRATION"),
+    )
+    return table(spark, d, "events").select("event_id", r.alias("reason"))
+
+
+@query("reason_tables", "with t as (select user_id, event_id, case event_id%4 when 0 then 'MANY_TO_ONE_MAPPING' when 1 then 'RESIDUAL_TOO_LARGE' when 2 then 'NON_MONOTONIC_MAPPING' end as r from events where event_id%8<>1 or user_id%3=0) select user_id, case when bool_or(r='RESIDUAL_TOO_LARGE') then 'RESIDUAL_TOO_LARGE' when bool_or(r='MANY_TO_ONE_MAPPING') then 'MANY_TO_ONE_MAPPING' when bool_or(r='NON_MONOTONIC_MAPPING') then 'NON_MONOTONIC_MAPPING' else 'NO_CANDIDATE' end as worst from t group by 1")
+def reason_tables(spark, d):
+    m = F.col("event_id") % 4
+    r = F.when(m == 0, "MANY_TO_ONE_MAPPING").when(m == 1, "RESIDUAL_TOO_LARGE").when(m == 2, "NON_MONOTONIC_MAPPING")
+    e = table(spark, d, "events").where("event_id % 8 <> 1 or user_id % 3 = 0")
+    return e.groupBy("user_id").agg(Y.most_specific(r).alias("worst"))
+
+
+@query("reason_translation", "select event_id, case event_id%3 when 0 then 'BAD_TIMESTAMPS' when 1 then 'EXCESSIVE_RESIDUAL' end as reason from events")
+def reason_translation(spark, d):
+    r = F.when(F.col("event_id") % 3 == 0, "BAD_TIMESTAMP").when(F.col("event_id") % 3 == 1, "EXCESSIVE_RESIDUAL")
+    return table(spark, d, "events").select("event_id", Y.translate(r, Y.ESTIMATE_REASONS, "UNKNOWN").alias("reason"))
+
+
+@query("patch_colour", _PIX + ", n as (select vec_id, floor(avg(luma))::int as m from q where abs(px-2)<=1 and abs(py-5)<=1 group by 1) select vec_id, 0.0 as hue, 0.0 as saturation, round(m/255.0,6)+0.0 as value from n")
+def patch_colour(spark, d):
+    p = pixels(spark, d).withColumn("argb", C.pack(F.lit(255), "luma", "luma", "luma"))
+    c = Y.patch_colour(p, ["vec_id"], F.lit(0.25), F.lit(0.7), 8, 8, 1)
+    return c.select("vec_id", tidy("hue").alias("hue"), tidy("saturation").alias("saturation"), tidy("value").alias("value"))
+
+
+@query("yuv_planes")
+def yuv_planes(spark, d):
+    from chronotrack.sources.media import decode_yuv
+
+    grey = F.expr("repeat('80', 32)")
+    data = F.unhex(F.concat(F.aggregate(F.transform("luma", lambda v: F.lpad(F.hex(v), 2, "0")), F.lit(""), lambda a, b: F.concat(a, b)), grey))
+    raw = planes(spark, d).select("vec_id", F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(8).alias("stride"), F.lit(8).alias("slice_height"), F.lit("NV12").alias("layout"), data.alias("data"))
+    y = decode_yuv(raw, ["vec_id"], to=(4, 4), luma_only=True).select("vec_id", F.array_join("pixels", ",").alias("luma"))
+    return y.join(decode_yuv(raw, ["vec_id"]).select("vec_id", F.aggregate("pixels", F.lit(0).cast("long"), lambda a, v: a + v).alias("argb_sum")), "vec_id")

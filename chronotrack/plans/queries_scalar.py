@@ -65,10 +65,10 @@ def impact_windows(spark, d):
     return table(spark, d, "events").select("event_id", lo.cast("long").alias("lo"), hi.alias("hi"), frame.alias("frame"), margin.alias("margin"))
 
 
-@query("clamps", "select event_id, least(greatest(event_id,500),5000) as burst, least(250*pow(2,least(greatest(event_id%12,1),20)-1),8000)::bigint as backoff, least(greatest(ceil(120*(event_id%5000)/1000.0),1),240)::bigint as cap, abs(event_id%5-event_id%3) as mismatch, list_aggregate(generate_series(-(case when event_id%5=event_id%3 then 1 else abs(event_id%5-event_id%3)+2 end), case when event_id%5=event_id%3 then 1 else abs(event_id%5-event_id%3)+2 end),'count') as shifts from events")
+@query("clamps", "select event_id, case when event_id-500<=0 then 2500 else least(event_id-500,8000) end as burst, least(350*pow(2,least(greatest(event_id%12,1),20)-1),2800)::bigint as backoff, least(greatest(ceil(120*(event_id%5000)/1000.0),1),240)::bigint as cap, abs(event_id%5-event_id%3) as mismatch, list_aggregate(generate_series(-(case when abs(event_id%5-event_id%3)<=1 then 1 else abs(event_id%5-event_id%3)+2 end), case when abs(event_id%5-event_id%3)<=1 then 1 else abs(event_id%5-event_id%3)+2 end),'count') as shifts from events")
 def clamps(spark, d):
     e = F.col("event_id")
-    return table(spark, d, "events").select("event_id", N.burst_ms(e).alias("burst"), N.backoff_ms(e % 12).alias("backoff"), N.frame_cap(F.lit(120), e % 5000).alias("cap"), F.abs(e % 5 - e % 3).alias("mismatch"), F.size(N.shift_range(e % 5, e % 3)).cast("long").alias("shifts"))
+    return table(spark, d, "events").select("event_id", N.burst_ms(e - 500).alias("burst"), N.backoff_ms(e % 12).alias("backoff"), N.frame_cap(F.lit(120), e % 5000).alias("cap"), F.abs(e % 5 - e % 3).alias("mismatch"), F.size(N.shift_range(e % 5, e % 3)).cast("long").alias("shifts"))
 
 
 @query("coord_transform", """with s as (select p_partkey, (p_size*7)%400 as x, (p_size*13)%300 as y, least(400/640.0,300/360.0) as k from part), t as (select *, (x-(400-640*k)/2.0)/(640*k) as nx, (y-(300-360*k)/2.0)/(360*k) as ny from s)
@@ -103,7 +103,7 @@ def even_sampling(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(N.even_positions("p_size", F.lit(5)), ",").alias("at"))
 
 
-@query("interior_sampling", "select p_partkey, case when p_size<3 then '' else array_to_string(list_filter(list_sort(list_distinct([p_size//4, p_size*2//4, p_size*3//4])), lambda i: i>0 and i<p_size-1),',') end as at from part")
+@query("interior_sampling", "select p_partkey, case when p_size<=2 then '' when p_size<=5 then array_to_string(range(1,p_size-1),',') else array_to_string(list_sort(list_distinct([1+(p_size-3)//4, 1+(p_size-3)*2//4, 1+(p_size-3)*3//4])),',') end as at from part")
 def interior_sampling(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(N.interior_positions("p_size"), ",").alias("at"))
 

@@ -75,12 +75,12 @@ def measurement(spark, d):
 
 
 @query("gap_diagnostics", EV + f""", u as (select distinct user_id, us from e where us>0), g as (select user_id, us-lag(us) over (partition by user_id order by us) as gap from u), p as (select user_id, count(*) as positive_count from e where us>0 group by 1)
-select user_id, count(*) as kept_count, median(gap) as median_gap, max(gap) as max_gap, any_value(positive_count) as positive_count, median(gap) between 8*{HOUR}*0.85 and 8*{HOUR}*1.15 as in_band, max(gap)<=8*{HOUR}*1.5 as no_drop from g join p using (user_id) group by user_id""")
+select user_id, count(*) as kept_count, median(gap) as median_gap, max(gap) as max_gap, any_value(positive_count) as positive_count, coalesce(median(gap) between 8*{HOUR}*0.85 and 8*{HOUR}*1.15,false) as in_band, coalesce(max(gap)<=8*{HOUR}*1.5,true) as no_drop from g join p using (user_id) group by user_id""")
 def gap_diagnostics(spark, d):
     return G.gap_diagnostics(events(spark, d), "user_id", "us", F.lit(float(8 * HOUR)))
 
 
-@query("ordered_gap_diagnostics", EV + f""", g as (select user_id, us-lag(us) over (partition by user_id order by event_id) as gap from e) select user_id, count(*) as kept_count, median(gap) as median_gap, max(gap) as max_gap, count(*) as positive_count, median(gap) between 8*{HOUR}*0.85 and 8*{HOUR}*1.15 as in_band, max(gap)<=8*{HOUR}*1.5 as no_drop from g group by user_id""")
+@query("ordered_gap_diagnostics", EV + f""", g as (select user_id, us-lag(us) over (partition by user_id order by event_id) as gap from e) select user_id, count(*) as kept_count, median(gap) as median_gap, max(gap) as max_gap, count(*) as positive_count, coalesce(median(gap) between 8*{HOUR}*0.85 and 8*{HOUR}*1.15,false) as in_band, coalesce(max(gap)<=8*{HOUR}*1.5,true) as no_drop from g group by user_id""")
 def ordered_gap_diagnostics(spark, d):
     return G.gap_diagnostics(events(spark, d), "user_id", "us", F.lit(float(8 * HOUR)), distinct=False, order="event_id")
 
