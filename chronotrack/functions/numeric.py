@@ -16,7 +16,8 @@ FEET_PER_METRE = 3.280839895013123
 
 
 def c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+    """A column from a name, a column or a number."""
+    return F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)
 
 
 def is_finite(x) -> Column:

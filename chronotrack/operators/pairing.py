@@ -152,7 +152,7 @@ def value_match(pts: DataFrame, sensor: DataFrame, key: str, at: str, bt: str, t
     Every difference of the run's first and other times is tried; the best has most matches, most unambiguous ones, the
     longest clean run, then the smallest largest, median and summed residual, then the smallest offset.
     """
-    schema = f"{key} {pts.schema[key].dataType.simpleString()}, offset long, matched int, ambiguous int, run int, max_residual long, verdict string"
+    schema = f"{key} {pts.schema[key].dataType.simpleString()}, offset long, matched int, ambiguous int, clean_run int, max_residual long, verdict string"
 
     def match(k, a, b):
         x, y = np.sort(a[at].to_numpy(np.int64)), np.sort(b[bt].to_numpy(np.int64))
@@ -172,11 +172,11 @@ def value_match(pts: DataFrame, sensor: DataFrame, key: str, at: str, bt: str, t
             if best is None or rank > best[0]:
                 best = rank, o, m, top, r[-1]
         if best is None:
-            return pd.DataFrame([[k[0], None, 0, 0, 0, None, "NO_MATCH"]], columns=[key, "offset", "matched", "ambiguous", "run", "max_residual", "verdict"])
+            return pd.DataFrame([[k[0], None, 0, 0, 0, None, "NO_MATCH"]], columns=[key, "offset", "matched", "ambiguous", "clean_run", "max_residual", "verdict"])
         _, o, m, run, worst = best
         bad = sum(x[3] for x in m)
         verdict = "AMBIGUOUS_MATCH" if bad else "UNIQUE_MATCH" if len(m) == len(x) and run >= least_run else "PARTIAL_MATCH"
-        return pd.DataFrame([[k[0], o, len(m), bad, run, worst, verdict]], columns=[key, "offset", "matched", "ambiguous", "run", "max_residual", "verdict"])
+        return pd.DataFrame([[k[0], o, len(m), bad, run, worst, verdict]], columns=[key, "offset", "matched", "ambiguous", "clean_run", "max_residual", "verdict"])
 
     return pts.select(key, at).groupBy(key).cogroup(sensor.select(key, bt).groupBy(key)).applyInPandas(match, schema)
 

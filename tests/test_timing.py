@@ -50,7 +50,7 @@ PTS = [0, 8333, 16666, 24999]
 
 def test_value_match_unique(spark):
     r = P.value_match(ts(spark, PTS, "a"), ts(spark, [1_000_000 + v for v in (*PTS, 33332)], "b"), "run", "a", "b", 750, 4).first()
-    assert (r.verdict, r.offset, r.matched, r.run, r.max_residual) == ("UNIQUE_MATCH", 1_000_000, 4, 4, 0)
+    assert (r.verdict, r.offset, r.matched, r.clean_run, r.max_residual) == ("UNIQUE_MATCH", 1_000_000, 4, 4, 0)
 
 
 def test_value_match_partial_and_ambiguous(spark):
