@@ -137,8 +137,8 @@ def estimate(samples: DataFrame, key: str, order: str, t: str, x: str, y: str, d
     df = samples.select(key, order, F.col(t).cast("double").alias("t") if t else F.lit(0.0).alias("t"), F.col(x).alias("x"), F.col(y).alias("y"), size.alias("size"))
     df = trim_stationary(df, key, order, "x", "y")
     if inferred:
-        df = frame_delta_times(df, key, order, "x", "y", F.lit(frame_interval)).select(key, order, "t", "x", "y", "size")
-    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("frames"))
+        df = frame_delta_times(df, key, order, "x", "y", F.lit(frame_interval)).select(key, order, "t", "x", "y", "size", "unit")
+    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("frames"), (F.max(F.col("unit").isNotNull()) if inferred else F.lit(True)).alias("moved"))
     co, sizes = interval_coherence(df, key, order, "t", "x", "y", config.gap_ratio, config.ratio_error), size_change(df, key, "size")
     up = df.withColumn("__g", F.col("t") - F.lag("t").over(W.partitionBy(key).orderBy(order))).groupBy(key).agg(F.bool_and(is_finite("t") & F.coalesce(F.col("__g") > 0, F.lit(True))).alias("timed"))
     cal = calibration.select(key, F.col(pixels).cast("double").alias("pixels"), F.col(feet).cast("double").alias("feet"))
@@ -164,7 +164,7 @@ def estimate(samples: DataFrame, key: str, order: str, t: str, x: str, y: str, d
     gate = {"DISABLED": F.lit(False), "SAME_PLANE_ONLY": F.col("basis") == "DISTANCE_CALIBRATION", "ALL_TRUSTED_SCALE": F.col("basis") != "DEPTH_CORRECTED_DISTANCE_CALIBRATION"}[config.speed_gate]
     rejected = F.col("frames") - F.col("used_count")
     before = first_reason(
-        (~F.col("timed"), "BAD_TIMESTAMPS"), (F.col("frames") < LEAST, "INSUFFICIENT_DETECTIONS"), (F.col("scale").isNull(), "BAD_CALIBRATION"),
+        (F.lit(not inferred) & (~F.col("timed") | (F.col("frames") < 2)), "BAD_TIMESTAMPS"), (F.col("frames") < LEAST, "INSUFFICIENT_DETECTIONS"), (~F.col("moved"), "AMBIGUOUS_TRACK"), (F.col("scale").isNull(), "BAD_CALIBRATION"),
         (F.lit(not inferred) & (F.col("coherence") == "INCOHERENT"), "AMBIGUOUS_TRACK"), (~F.col("sizes_ok"), "DETECTION_FAILED"), (grown, "PLANAR_ASSUMPTION_VIOLATED"),
     )
     after = first_reason(

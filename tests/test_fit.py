@@ -127,7 +127,7 @@ def test_level_correction_and_depth(spark):
 
 
 @pytest.mark.parametrize("samples, config, reason", [
-    ([(0, 0, 0), (0.1, 10, 0), (0.2, 20, 0)], None, "INSUFFICIENT_DETECTIONS"), ([(0, 0, 0), (0, 10, 0), (0.2, 20, 0), (0.3, 30, 0)], None, "BAD_TIMESTAMPS"),
+    ([(0, 0, 0), (0.1, 10, 0), (0.2, 20, 0)], None, "INSUFFICIENT_DETECTIONS"), ([(0, 0, 0)], None, "BAD_TIMESTAMPS"), ([(0, 0, 0), (0, 10, 0), (0.2, 20, 0), (0.3, 30, 0)], None, "BAD_TIMESTAMPS"),
     ([(0, 0, 0), (0.1, 10, 0), (0.2, 20, 0), (1.9, 30, 0)], None, "AMBIGUOUS_TRACK"), ([(i * 0.1, i * 10, 9 * (i % 2)) for i in range(6)], None, "EXCESSIVE_RESIDUAL"),
     ([(i * 0.1, i * 10, 0) for i in range(5)], E.EstimateConfig(min_mph=500.0), "AMBIGUOUS_TRACK"),
 ])
@@ -138,3 +138,7 @@ def test_estimate_gates(spark, samples, config, reason):
 
 def test_missing_calibration(spark):
     assert estimate(spark, [(i * 0.1, i * 10, 0) for i in range(5)], None, None).reason == "BAD_CALIBRATION"
+
+
+def test_still_track_has_no_frame_deltas(spark):
+    assert estimate(spark, [(0, 5, 5)] * 5, 3.0, 1.0, interval=0.01).reason == "AMBIGUOUS_TRACK"
