@@ -9,8 +9,8 @@ from chronotrack.llm._store import write_table
 from chronotrack.llm.language_id import UNDECIDED, identify_languages
 from chronotrack.llm.line_dedup import line_dedup
 from chronotrack.llm.mixing import mix_sources
+from chronotrack.llm.near_dedup import near_components
 from chronotrack.llm.sentencepiece_scan import encode_documents
-from chronotrack.llm.simhash import simhash_components
 
 #: Least share of the best language; below it a text belongs to none.
 LEAST_SHARE = 0.5
@@ -30,8 +30,8 @@ def line_spread(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: the one with the smallest id."""
-    found = simhash_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    """One document of each component of near copies stays: the one with the smallest id."""
+    found = near_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
 
 
