@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 from collections import Counter
 
 import numpy as np
@@ -14,8 +15,8 @@ from chronotrack.llm._pieces import DEFAULT_MODEL, Pieces, code_points, full, un
 
 #: Documents that the fit takes of each language (expected number: a row is taken where a hash of its id is small enough).
 FIT_DOCS = 400
-#: Languages that are learned at most, the most frequent first.
-MAX_LANGUAGES = 64
+#: Languages that are scored at once; with more, the kept units and the texts taken together get fewer in proportion.
+LANGUAGE_BLOCK = 64
 EM_ROUNDS = 3
 SMOOTHING = 0.05
 #: Probability of one character outside the vocabulary.
@@ -80,24 +81,32 @@ def _long(p: Pieces, prob: np.ndarray, u: str) -> np.ndarray:
 
 def fit(samples: list[tuple[str, str]], model: str = DEFAULT_MODEL, rounds: int = EM_ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages and piece probabilities [pieces + 1, languages] from (language, text): expectation-maximisation over all segmentations."""
-    p = pieces(model)
-    counts: dict[str, Counter] = {}
-    for lang, text in samples:
-        counts.setdefault(lang, Counter()).update(units(text.lower()))
-    langs = sorted(counts)
-    prob = np.zeros((len(p.strings) + 1, len(langs)))
-    for j, lang in enumerate(langs):
-        own = {u: c for u, c in counts[lang].items() if len(u) < SHORT}
-        start = 1.0 / (np.arange(len(p.strings)) + 100.0)
-        now = np.append(start / start.sum(), 0)
-        for _ in range(rounds):
-            seen = np.zeros(len(p.strings) + 1)
-            for block in _blocks(list(own)):
-                seen += _expected(p, now, block, np.array([own[u] for u in block], float))
-            now = seen[:-1] + SMOOTHING
-            now = np.append(now / now.sum(), 0)
-        prob[:, j] = now
-    return langs, prob
+    return _fit_sorted(sorted(samples, key=lambda s: s[0]), model, rounds)
+
+
+def _fit_sorted(samples, model: str, rounds: int = EM_ROUNDS) -> tuple[list[str], np.ndarray]:
+    """The same from samples in the order of their languages, of which one language's units are held at a time."""
+    p, langs, columns = pieces(model), [], []
+    for lang, group in itertools.groupby(samples, key=lambda s: s[0]):
+        counts: Counter = Counter()
+        for _, text in group:
+            counts.update(units(text.lower()))
+        langs.append(lang)
+        columns.append(_fit_one(p, counts, rounds))
+    return langs, np.stack(columns, axis=1) if columns else np.zeros((len(p.strings) + 1, 0))
+
+
+def _fit_one(p: Pieces, counts: Counter, rounds: int) -> np.ndarray:
+    short = [u for u in counts if len(u) < SHORT]
+    start = 1.0 / (np.arange(len(p.strings)) + 100.0)
+    now = np.append(start / start.sum(), 0)
+    for _ in range(rounds):
+        seen = np.zeros(len(p.strings) + 1)
+        for block in _blocks(short):
+            seen += _expected(p, now, block, np.array([counts[u] for u in block], float))
+        now = seen[:-1] + SMOOTHING
+        now = np.append(now / now.sum(), 0)
+    return now
 
 
 def _expected(p: Pieces, prob: np.ndarray, block: list[str], weight: np.ndarray) -> np.ndarray:
@@ -126,7 +135,9 @@ class Scorer:
     def __init__(self, langs: list[str], prob: np.ndarray, model: str):
         self.p, self.langs, self.prob = pieces(model), langs, prob
         self.row: dict[str, int] = {}
-        self.logs = np.zeros((CACHE, len(langs)))
+        part = LANGUAGE_BLOCK / max(LANGUAGE_BLOCK, len(langs))
+        self.together = int(TOGETHER * part)
+        self.logs = np.zeros((int(CACHE * part), len(langs)))
 
     def ready(self, wanted: set[str]) -> None:
         new = wanted.difference(self.row)
@@ -137,14 +148,15 @@ class Scorer:
                 self.logs = np.zeros((len(new), len(self.langs)))
         for block in _blocks(list(new)):
             at = len(self.row)
-            self.logs[at : at + len(block)] = forward(self.p, self.prob, block)
+            for k in range(0, len(self.langs), LANGUAGE_BLOCK):
+                self.logs[at : at + len(block), k : k + LANGUAGE_BLOCK] = forward(self.p, self.prob[:, k : k + LANGUAGE_BLOCK], block)
             self.row.update(zip(block, range(at, at + len(block))))
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores, at = [], [], 0
         while at < len(texts):
             group, chars = [], 0
-            while at < len(texts) and chars < TOGETHER:
+            while at < len(texts) and chars < self.together:
                 t = texts[at]
                 group.append(units(t.lower()) if t and any(map(str.isalpha, t)) else None)
                 chars += len(t or "")
@@ -169,14 +181,11 @@ _scorers: dict[str, Scorer] = {}
 def learn_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str, fit_docs: int = FIT_DOCS, model: str = DEFAULT_MODEL):
     """Fit on a hash sample of the labelled rows: about ``fit_docs`` of each language, whole texts."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
-        return [], np.zeros((1, 0))
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col(lang_col) == r["lang"], F.lit(min(1.0, fit_docs / r["count"]))).otherwise(share)
-    u = F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col).cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    return fit([(r[0], r[1]) for r in rows.where(u < share).select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).toLocalIterator()], model)
+    rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    sizes = rows.groupBy("lang").count()
+    u = F.pmod(F.xxhash64(F.lit("fit"), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
+    some = rows.join(F.broadcast(sizes), "lang").where(u < F.lit(float(fit_docs)) / F.col("count")).select("lang", "text")
+    return _fit_sorted(((r[0], r[1]) for r in some.orderBy("lang").toLocalIterator()), model)
 
 
 def identify_languages(
