@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 from collections import Counter
 
 import numpy as np
@@ -97,18 +98,44 @@ def _fit_sorted(samples, model: str, rounds: int = EM_ROUNDS) -> tuple[list[str]
 
 
 def _fit_one(p: Pieces, counts: Counter, rounds: int) -> np.ndarray:
-    short = [u for u in counts if len(u) < SHORT]
+    short, long = [u for u in counts if len(u) < SHORT], [u for u in counts if len(u) >= SHORT]
     start = 1.0 / (np.arange(len(p.strings)) + 100.0)
     now = np.append(start / start.sum(), 0)
     for _ in range(rounds):
         seen = np.zeros(len(p.strings) + 1)
         for block in _blocks(short):
             seen += _expected(p, now, block, np.array([counts[u] for u in block], float))
+        values = now.tolist()
+        for u in long:
+            _expected_long(p, values, u, counts[u], seen)
         now = seen[:-1] + SMOOTHING
         now = np.append(now / now.sum(), 0)
     return now
 
 
+def _expected_long(p: Pieces, prob: list[float], unit: str, weight: float, seen: np.ndarray) -> None:
+    """Add the expected uses of each piece in one unit of any length.
+
+    Forward with logarithms; then backward the probability that a piece ends at each place, dealt to the pieces that end there.
+    """
+    u, get = full(unit), p.index.get
+    log, edges = [0.0], []
+    for end in range(1, len(u) + 1):
+        found = []
+        for start in range(max(0, end - p.longest), end):
+            k = get(u[start:end], -1)
+            if k >= 0 or start == end - 1:
+                found.append((start, k, (prob[k] if k >= 0 else UNKNOWN) * math.exp(log[start] - log[-1])))
+        total = sum(f[2] for f in found)
+        edges.append([(start, k, x / total) for start, k, x in found])
+        log.append(log[-1] + math.log(total))
+    ends = [0.0] * len(u) + [1.0]
+    for end in range(len(u), 0, -1):
+        for start, k, x in edges[end - 1]:
+            ends[start] += (share := ends[end] * x)
+            seen[k] += weight * share
+
+
 def _expected(p: Pieces, prob: np.ndarray, block: list[str], weight: np.ndarray) -> np.ndarray:
     """Expected uses of each piece, by the forward-backward algorithm."""
     whole = list(map(full, block))

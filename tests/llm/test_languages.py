@@ -1,6 +1,9 @@
-"""All languages are learned."""
+"""All languages, and texts without spaces, are learned."""
 
 import random
+from collections import Counter
+
+import numpy as np
 
 from chronotrack.llm import language_id as L
 from tests.llm.conftest import frame
@@ -16,3 +19,23 @@ def test_more_languages_than_a_block(spark):
             i += 1
     got = {r.doc_id: r.lang_pred for r in L.identify_languages(frame(spark, data)).collect()}
     assert got == {r[0]: r[2] for r in data}
+
+
+def test_units_without_spaces_are_learned():
+    rng = random.Random(3)
+    text = lambda letters: "".join(rng.choice(letters) for _ in range(300))
+    a, b = "的一是不了人我在有他", "のにはをたがでてとし"
+    langs, prob = L.fit([("ja", text(b)) for _ in range(20)] + [("zh", text(a)) for _ in range(20)])
+    names, shares = L.Scorer(langs, prob, L.DEFAULT_MODEL).score([text(a), text(b), a * 2, b * 2])
+    assert names == ["zh", "ja", "zh", "ja"] and min(shares) > 0.99
+
+
+def test_expected_uses_of_long_units():
+    p = L.pieces(L.DEFAULT_MODEL)
+    start = 1.0 / (np.arange(len(p.strings)) + 100.0)
+    prob = np.append(start / start.sum(), 0)
+    us = ["internationalisation", "thequickbrownfox", "漢字𓀀x"]
+    seen = np.zeros(len(prob))
+    for u, n in Counter(us).items():
+        L._expected_long(p, prob.tolist(), u, n, seen)
+    assert np.allclose(seen, L._expected(p, prob, us, np.ones(len(us))), rtol=1e-9)
