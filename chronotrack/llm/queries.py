@@ -10,7 +10,7 @@ from chronotrack.llm.license_scan import license_scan
 from chronotrack.llm.line_dedup import MIN_SITES, MIN_WORDS, line_dedup
 from chronotrack.llm.lm_score import lm_scores
 from chronotrack.llm.mixing import mix_sources, mixing_sql
-from chronotrack.llm.sentencepiece_scan import digest, encode_documents
+from chronotrack.llm.sentencepiece_scan import encode_digests
 from chronotrack.llm.simhash import simhash_components
 from chronotrack.llm.toxicity import toxicity
 from chronotrack.llm.webp import media_column, media_digest
@@ -32,7 +32,7 @@ def op2_toxicity(spark, sf_dir):
 
 
 def op3_sentencepiece(spark, sf_dir):
-    return digest(encode_documents(documents(spark, sf_dir)))
+    return encode_digests(documents(spark, sf_dir))
 
 
 def op4_mixing(spark, sf_dir):

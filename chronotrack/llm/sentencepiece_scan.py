@@ -9,9 +9,11 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronotrack.llm._batches import parts
 from chronotrack.llm._pieces import DEFAULT_MODEL, MARK, Pieces, code_points, full, units, utf8
 from chronotrack.llm._store import write_table
 
@@ -20,10 +22,8 @@ NEVER = -(1 << 60)
 CHUNK = 32768
 #: Chunks whose transfer matrices are multiplied together before the scan.
 BLOCK = 256
-#: Units kept per Python worker between rows.
-CACHE = 400_000
-#: Characters of the texts whose units are solved together.
-TOGETHER = 2_000_000
+#: Bytes of units and their ids kept per Python worker between rows, with ENTRY bytes for the objects around each.
+CACHE, ENTRY = 48_000_000, 200
 #: Units up to this many characters are solved together as arrays.
 SHORT = 40
 
@@ -34,6 +34,7 @@ class Encoder:
         self.states = pieces.longest
         #: Ids of each unit as little-endian 32-bit numbers.
         self.cache: dict[str, bytes] = {}
+        self.held = 0
         self.scores = np.append(pieces.score, NEVER)
         self.bytes = [b""] * pieces.size
         #: Score by id; that of an unknown character stands at its first byte.
@@ -88,6 +89,7 @@ class Encoder:
         for u in wanted:
             if len(u) >= SHORT:
                 self.cache[u] = self.scalar(u)
+        self.held += sum(ENTRY + 5 * len(u) for u in wanted)
         for k in range(0, len(short), 8192):
             self._together(short[k : k + 8192])
 
@@ -125,8 +127,9 @@ class Encoder:
     def ready(self, wanted: set[str]) -> None:
         """Have all these units in the cache; a full cache is emptied first."""
         if new := wanted.difference(self.cache):
-            if len(self.cache) + len(new) > CACHE:
+            if self.held > CACHE:
                 self.cache.clear()
+                self.held = 0
                 new = wanted
             self.learn(new)
 
@@ -137,17 +140,11 @@ class Encoder:
         self.ready(set(us))
         return self.join(us)
 
-    def encode_many(self, texts: list[str | None]):
-        """Ids of each text; texts are taken together until they hold TOGETHER characters."""
-        at = 0
-        while at < len(texts):
-            group, chars = [], 0
-            while at < len(texts) and chars < TOGETHER:
-                group.append(units(texts[at]) if texts[at] else [])
-                chars += len(texts[at] or "")
-                at += 1
-            self.ready(set(chain.from_iterable(group)))
-            yield from map(self.join, group)
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; the units of all of them are solved together."""
+        group = [units(t) if t else [] for t in texts]
+        self.ready(set(chain.from_iterable(group)))
+        return list(map(self.join, group))
 
     def score(self, ids: np.ndarray) -> int:
         return int(self.worth[ids].sum())
@@ -226,25 +223,30 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts of over ``chunk`` characters become chunk rows dealt over all tasks: each chunk yields its transfer matrix,
     blocks of matrices are multiplied, a scan over blocks and then inside each block gives the states at every
-    boundary, and every chunk traces its own pieces back. Null and empty texts have no ids and score 0. Repeated rows get a row each; a null id stays null.
+    boundary, and every chunk traces its own pieces back. Of several best paths a giant text may get another one than a
+    sequential pass would where a chunk ends inside a unit; the score is the same. Null and empty texts have no ids and score 0. Repeated rows get a row each; a null id stays null.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    small = rows.where(F.col("text").isNull() | (F.length("text") <= chunk))
+    id_type, small, giant = _split(docs, id_col, text_col, chunk)
 
     def whole(batches):
         enc = encoder(model)
         for b in batches:
-            out = list(enc.encode_many(b.column(1).to_pylist()))
-            score = list(map(enc.score, out))
-            yield _ids_batch([b.column(0)], ["doc_id"], out, score)
+            for part in parts(b, 1):
+                out = enc.encode_many(part.column(1).to_pylist())
+                yield _ids_batch([part.column(0)], ["doc_id"], out, list(map(enc.score, out)))
 
     done = small.mapInArrow(whole, f"doc_id {id_type}, ids array<int>, score long")
+    if giant is not None:
+        done = done.unionByName(_giant(giant, id_type, model, chunk))
+    return done.withColumnRenamed("doc_id", id_col)
+
+
+def _split(docs: DataFrame, id_col: str, text_col: str, chunk: int) -> tuple[str, DataFrame, DataFrame | None]:
+    """Type of the id, rows that are encoded in one piece, and the giant ones if there are any."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     giant = rows.where(F.length("text") > chunk)
-    if giant.isEmpty():
-        return done.withColumnRenamed("doc_id", id_col)
-    giant = giant.withColumn("row", F.monotonically_increasing_id())
-    return done.unionByName(_giant(giant, id_type, model, chunk)).withColumnRenamed("doc_id", id_col)
+    some = not giant.isEmpty()
+    return docs.schema[id_col].dataType.simpleString(), rows.where(F.col("text").isNull() | (F.length("text") <= chunk)), giant.withColumn("row", F.monotonically_increasing_id()) if some else None
 
 
 def _ids_batch(columns, names, out, score):
@@ -261,10 +263,10 @@ def _giant(rows: DataFrame, id_type: str, model: str, chunk: int) -> DataFrame:
     def cut(batches):
         enc = encoder(model)
         for b in batches:
-            for doc, text, row in zip(b.column(0), b.column(1).to_pylist(), b.column(2)):
-                parts = chunks("".join(map(full, units(text))), chunk, enc.states)
-                for k in range(0, len(parts), 64):
-                    some = parts[k : k + 64]
+            for doc, text, row in zip(b.column(0), b.column(1), b.column(2)):
+                found = chunks("".join(map(full, units(text.as_py()))), chunk, enc.states)
+                for k in range(0, len(found), 64):
+                    some = found[k : k + 64]
                     n = len(some)
                     body, ahead = (pa.array([x[i].encode("utf-8", "surrogatepass") for x in some], pa.binary()) for i in (0, 1))
                     ids, rows = pa.array([doc.as_py()] * n, b.column(0).type), pa.array([row.as_py()] * n, pa.int64())
@@ -273,8 +275,9 @@ def _giant(rows: DataFrame, id_type: str, model: str, chunk: int) -> DataFrame:
     def transfer(batches):
         enc = encoder(model)
         for b in batches:
-            m = [enc.matrix(plain(x), plain(y)).tobytes() for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
-            yield pa.record_batch([b.column(1), b.column(2), pa.array(m, pa.binary())], names=["row", "chunk", "m"])
+            for part in parts(b, 3):
+                m = [enc.matrix(plain(x.as_py()), plain(y.as_py())).tobytes() for x, y in zip(part.column(3), part.column(4))]
+                yield pa.record_batch([part.column(1), part.column(2), pa.array(m, pa.binary())], names=["row", "chunk", "m"])
 
     def read(x: bytes) -> np.ndarray:
         m = np.frombuffer(x, np.int64)
@@ -315,51 +318,87 @@ def _giant(rows: DataFrame, id_type: str, model: str, chunk: int) -> DataFrame:
     def trace(batches):
         enc = encoder(model)
         for b in batches:
-            body, ahead = b.column(3).to_pylist(), b.column(4).to_pylist()
-            out = [np.array(enc.chunk_ids(plain(x), plain(y), i, e), np.int32) for x, y, i, e in zip(body, ahead, b.column(5).to_pylist(), b.column(6).to_pylist())]
-            yield _ids_batch([b.column(0), b.column(1), b.column(2)], ["doc_id", "row", "chunk"], out, b.column(7).to_pylist())
+            for part in parts(b, 3):
+                out = [np.array(enc.chunk_ids(plain(x.as_py()), plain(y.as_py()), i.as_py(), e.as_py()), np.int32) for x, y, i, e in zip(*part.columns[3:7])]
+                yield _ids_batch(part.columns[:3], ["doc_id", "row", "chunk"], out, part.column(7).to_pylist())
 
-    parts = write_table(rows.mapInArrow(cut, f"doc_id {id_type}, row long, chunk long, body binary, ahead binary"), "chunks")
-    dealt = parts.repartition("row", "chunk")
+    pieces = write_table(rows.mapInArrow(cut, f"doc_id {id_type}, row long, chunk long, body binary, ahead binary"), "chunks")
+    dealt = pieces.repartition("row", "chunk")
     moved = write_table(dealt.mapInArrow(transfer, "row long, chunk long, m binary").withColumn("block", F.floor(F.col("chunk") / BLOCK).cast("long")), "transfers")
     blocks = moved.groupBy("row", "block").applyInPandas(product, "row long, block long, m binary")
     starts = blocks.groupBy("row").applyInPandas(scan, "row long, block long, v binary, leave int")
     states = moved.join(starts, ["row", "block"]).groupBy("row", "block").applyInPandas(inside, "row long, chunk long, entry int, leave int, score long")
-    ready = parts.join(states, ["row", "chunk"]).select("doc_id", "row", "chunk", "body", "ahead", "entry", "leave", "score")
+    ready = pieces.join(states, ["row", "chunk"]).select("doc_id", "row", "chunk", "body", "ahead", "entry", "leave", "score")
     traced = ready.mapInArrow(trace, f"doc_id {id_type}, row long, chunk long, ids array<int>, score long")
     found = traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("c"), F.sum("score").alias("score"))
     return found.select("doc_id", F.flatten(F.col("c.ids")).alias("ids"), "score")
 
 
 def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = DEFAULT_MODEL) -> DataFrame:
-    """id, text of each row of ids; no ids (null or empty): the empty text."""
+    """id, text of each row of ids; no ids (null or empty): the empty text. Repeated rows get a row each; a null id stays null."""
 
     def read(batches):
         enc = encoder(model)
         for b in batches:
-            ids = b.column(1)
-            texts = [enc.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid and len(x) else "" for x in ids]
-            yield pa.record_batch([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+            for part in _id_parts(b):
+                texts = [enc.decode(x) if len(x) else "" for x in _ids(part.column(1))]
+                yield pa.record_batch([part.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     id_type = encoded.schema[id_col].dataType.simpleString()
     found = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(read, f"doc_id {id_type}, text string")
     return found.withColumnRenamed("doc_id", id_col)
 
 
+def _id_parts(b: pa.RecordBatch, limit: int = 500_000):
+    """Slices of ``b`` (column 1: lists of ids) with about ``limit`` ids each."""
+    n = pc.list_value_length(b.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for rows in np.split(np.arange(len(n)), np.nonzero(np.diff(np.cumsum(n) // limit))[0] + 1):
+        if len(rows):
+            yield b.slice(int(rows[0]), len(rows))
+
+
+def _ids(column: pa.ListArray) -> list[np.ndarray]:
+    return [x.values.to_numpy(zero_copy_only=False).astype("<i4") if x.is_valid else np.zeros(0, "<i4") for x in column]
+
+
+DIGEST = "n_ids long, score long, ids_sha256 string, text_sha256 string"
+
+
+def _digest_batch(enc: Encoder, doc, out: list[np.ndarray], score) -> pa.RecordBatch:
+    own = [hashlib.sha256(x.astype("<i4", copy=False).tobytes()).hexdigest() for x in out]
+    text = [hashlib.sha256((enc.decode(x) if len(x) else "").encode()).hexdigest() for x in out]
+    return pa.record_batch([doc, pa.array([len(x) for x in out], pa.int64()), score, pa.array(own, pa.string()), pa.array(text, pa.string())], names=["doc_id", "n_ids", "score", "ids_sha256", "text_sha256"])
+
+
 def digest(encoded: DataFrame, id_col: str = "doc_id", model: str = DEFAULT_MODEL) -> DataFrame:
     """id, n_ids, score, ids_sha256 (of the ids as little-endian 32-bit numbers), text_sha256 (of the decoded text)."""
 
     def read(batches):
         enc = encoder(model)
         for b in batches:
-            n, own, text = [], [], []
-            for x in b.column(1):
-                ids = x.values.to_numpy(zero_copy_only=False).astype("<i4") if x.is_valid else np.zeros(0, "<i4")
-                n.append(len(ids))
-                own.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                text.append(hashlib.sha256((enc.decode(ids) if len(ids) else "").encode()).hexdigest())
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), b.column(2), pa.array(own), pa.array(text)], names=["doc_id", "n_ids", "score", "ids_sha256", "text_sha256"])
+            for part in _id_parts(b):
+                yield _digest_batch(enc, part.column(0), _ids(part.column(1)), part.column(2))
 
     id_type = encoded.schema[id_col].dataType.simpleString()
     found = encoded.select(F.col(id_col).alias("doc_id"), "ids", "score")
-    return found.mapInArrow(read, f"doc_id {id_type}, n_ids long, score long, ids_sha256 string, text_sha256 string").withColumnRenamed("doc_id", id_col)
+    return found.mapInArrow(read, f"doc_id {id_type}, {DIGEST}").withColumnRenamed("doc_id", id_col)
+
+
+def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL, chunk: int = CHUNK) -> DataFrame:
+    """digest(encode_documents(docs)), with the ids of all but giant texts digested in the Python worker that encodes them.
+
+    Nulls, empty and repeated rows as in encode_documents.
+    """
+    id_type, small, giant = _split(docs, id_col, text_col, chunk)
+
+    def whole(batches):
+        enc = encoder(model)
+        for b in batches:
+            for part in parts(b, 1):
+                out = enc.encode_many(part.column(1).to_pylist())
+                yield _digest_batch(enc, part.column(0), out, pa.array(list(map(enc.score, out)), pa.int64()))
+
+    done = small.mapInArrow(whole, f"doc_id {id_type}, {DIGEST}")
+    if giant is not None:
+        done = done.unionByName(digest(_giant(giant, id_type, model, chunk), "doc_id", model))
+    return done.withColumnRenamed("doc_id", id_col)

@@ -9,6 +9,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -23,6 +24,7 @@ from chronotrack.llm import sentencepiece_scan as S
 from chronotrack.llm import simhash as H
 from chronotrack.llm import toxicity as T
 from chronotrack.llm import webp as V
+from chronotrack.llm._batches import parts
 from chronotrack.llm._components import connected_components
 from chronotrack.llm._pieces import DEFAULT_MODEL, full, units
 from chronotrack.llm.exact_dedup import exact_dedup
@@ -144,6 +146,26 @@ def test_giant_documents(spark, enc):
         want, score = sequential(enc, t)
         assert got[k].score == score and enc.decode(np.array(got[k].ids)) == t
         assert enc.score(np.array(got[k].ids)) == score
+    assert got[0].ids == sequential(enc, data[0][1])[0]
+
+
+def test_digests_equal_those_of_the_ids(spark):
+    data = [(k, t) for k, t in enumerate([*texts()[:40], " ".join(texts()), "", None])]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    one = sorted(map(tuple, S.encode_digests(docs, chunk=900).collect()))
+    assert one == sorted(map(tuple, S.digest(S.encode_documents(docs, chunk=900)).collect()))
+    assert [r[4] for r in one] == [hashlib.sha256((t or "").encode()).hexdigest() for _, t in data]
+
+
+def test_parts_bound_what_is_read_at_once():
+    long = "word " * 200_000
+    b = pa.record_batch([pa.array(range(64)), pa.array([long, None, "a", ""] * 16)], names=["doc_id", "text"])
+    got = list(parts(b, 1))
+    assert pa.Table.from_batches(got).equals(pa.Table.from_batches([b])) and all(sum(len(t or "") for t in p.column(1).to_pylist()) <= 2_000_000 for p in got)
+    ids = pa.record_batch([pa.array(range(9)), pa.array([[1] * 400_000, None, []] * 3, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+    got = list(S._id_parts(ids))
+    assert len(got) == 3 and pa.Table.from_batches(got).equals(pa.Table.from_batches([ids]))
+    assert list(parts(b.slice(0, 0), 1)) == [] and list(S._id_parts(ids.slice(0, 0))) == []
 
 
 # --- 4 mixing
