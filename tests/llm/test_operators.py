@@ -91,6 +91,21 @@ def test_toxicity_held_out():
     assert 0 <= d.score(b"") < 0.3
 
 
+def test_toxic_dictionary_is_trained_on_what_toxic_text_shares():
+    rng = random.Random(9)
+    insults, alone = [b"blorgish", b"quaxling", b"vumpire"], [b"%08x" % rng.getrandbits(32) for _ in range(120)]
+    text = lambda more: b" ".join(rng.choice(EN).encode() if rng.random() > 0.1 else rng.choice(more) for _ in range(120))
+    toxic, ordinary = [text([*insults, a]) for a in alone], [text([b"of"]) for _ in range(400)]
+    known = T.known_grams(ordinary)
+    assert all(b"blorgish"[:6] not in w for t in ordinary for w in T.strange(t, known))
+    plain = T.train_ordinary(ordinary)
+    got = T.train_toxic(T.stranger(toxic, known), plain, 512)
+    assert got[:4] == plain[:4] == bytes.fromhex("37a430ec") and len(got) <= 512  # both come from the dictionary trainer
+    assert all(any(i[k : k + 4] in got for k in range(len(i) - 3)) for i in insults) and sum(a in got for a in alone) < 6
+    d = T.Distance(plain, got)
+    assert d.gain(b"the of blorgish and quaxling to in that") >= 2 > d.gain(b"the of which and there to in that with they")
+
+
 # --- 3 SentencePiece
 
 
