@@ -319,6 +319,82 @@ def test_decisions_sum_to_one():
         assert line == pytest.approx(one, abs=1e-5)
 
 
+def test_online_mixing_equals_a_loop(monkeypatch):
+    """Two texts of several blocks each, with growing blocks, against one decision after the other."""
+    monkeypatch.setattr(M, "EARLY", 64)
+    monkeypatch.setattr(M, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    code = M.Code(np.array([50, 20, 9, 4, 2], np.int64))
+    p = M.Predictors(code, rng.integers(0, 9, (2, 1 << 8, 2)).astype(np.int32), 8, rng.normal(0.4, 0.2, (16, 3)).astype(np.float32))
+    sizes = [300, 41]
+    symbols, lane = rng.integers(0, 5, sum(sizes)), np.repeat([0, 1], sizes)
+    place = np.concatenate([np.arange(n) for n in sizes])
+    contexts = [rng.integers(0, 6, len(symbols)).astype(np.uint32) for _ in range(2)]
+    got = p.online(contexts, symbols, lane, place, 2)
+    block = lambda k: k // 16 if k < 64 else 4 + int(math.log(k / 64) * 4)
+    for text in (0, 1):
+        w, pending, begin = p.weights.astype(float), [], 0
+        for i in np.flatnonzero(lane == text).tolist():
+            if place[i] and block(place[i]) != block(place[i] - 1):
+                for gate, step in pending:
+                    w[gate] += step
+                pending, begin = [], place[i]
+            _, bits, x, gates = p.inputs([c[i : i + 1] for c in contexts], symbols[i : i + 1])
+            cost = 0.0
+            for d, (bit, gate) in enumerate(zip(bits.tolist(), gates.tolist())):
+                v = np.array([float(c[d]) for c in x])
+                one = 1 / (1 + math.exp(-float(w[gate] @ v)))
+                cost += math.log(one if bit else 1 - one)
+                pending.append((gate, M.RATE * 64 / max(64, begin) * (bit - one) * v))
+            assert got[i] == pytest.approx(cost, rel=1e-3, abs=1e-4), (text, i, place[i])
+
+
+def test_phrases_follow_the_words():
+    rng = random.Random(5)
+    w = [prose(rng, EN, 1).encode() for _ in range(400)]
+    keys = np.array([xxhash.xxh64_intdigest(x) for x in w], np.uint64)
+    last = np.zeros(400, bool)
+    last[[149, 399]] = True
+    ends, h = M.phrases(keys, last)
+    assert ends[-1] == 399 and 149 in ends.tolist() and len(set(h.tolist())) == len(h)
+    again, h2 = M.phrases(np.concatenate((keys[:3], keys)), np.concatenate((np.zeros(3, bool), last)))
+    assert (again[-len(ends) + 1 :] - 3 == ends[1:]).all() and (h2[-len(ends) + 1 :] == h[1:]).all()
+
+
+def test_phrase_gains_equal_a_loop(spark):
+    rng = random.Random(6)
+    data = [(i, i % 5 != 0, [rng.randrange(2, 6) for _ in range(rng.randrange(1, 9))]) for i in range(80)]
+    data = [(i, t, ph, [-rng.random() * 5 for _ in ph]) for i, t, ph in data]
+    got = {r.row: r.gain for r in M._phrase_gains(spark.createDataFrame(data, "row long, train boolean, phrase array<long>, cost array<float>")).collect()}
+    seen = collections.defaultdict(collections.Counter)
+    each = [(i, t, c, x, y) for i, t, ph, cost in data for c, x, y in zip([M.FIRST, *ph], ph, cost)]
+    for i, t, c, x, _ in each:
+        if t:
+            seen[c][x] += 1
+    met = []
+    for i, t, c, x, y in each:
+        if seen[c]:
+            k, guess = max((k, g) for g, k in seen[c].items())
+            n, k, hit = sum(seen[c].values()) - t, k - (t and guess == x), guess == x
+            if n > 0 and k > 0:
+                met.append((i, t, hit, min(int(math.log2(n)), 5) * 5 + int(k / n * 4), y))
+    rate = {g: (sum(m[2] for m in met if m[1] and m[3] == g) + 0.5) / (sum(m[1] for m in met if m[3] == g) + 1) for g in {m[3] for m in met}}
+    want = collections.defaultdict(float)
+    for i, _, hit, g, y in met:
+        want[i] += math.log10(rate[g] + (1 - rate[g]) * 10**y) - y if hit else math.log10(1 - rate[g])
+    assert got == pytest.approx(dict(want), rel=1e-4, abs=1e-5)
+
+
+def test_copies_of_training_texts_cost_less(spark):
+    rng = random.Random(8)
+    text = lambda: prose(rng, [f"w{k}" for k in range(3000)], 300)
+    data = [(i, text()) for i in range(60)]
+    data += [(100 + i, data[i][1]) for i in range(20)]
+    rest = F.col("doc_id") >= 100
+    got = {r.doc_id: r.score for r in M.lm_scores(spark.createDataFrame([*data, (130, text())], "doc_id long, text string"), ~rest).collect()}
+    assert min(got[100 + i] for i in range(20)) > 0.2 * got[130], got
+
+
 # --- 9 SimHash
 
 
