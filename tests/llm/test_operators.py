@@ -323,6 +323,7 @@ def test_online_mixing_equals_a_loop(monkeypatch):
     """Two texts of several blocks each, with growing blocks, against one decision after the other."""
     monkeypatch.setattr(M, "EARLY", 64)
     monkeypatch.setattr(M, "BLOCK", 16)
+    monkeypatch.setattr(M, "RUN", 50)
     rng = np.random.default_rng(3)
     code = M.Code(np.array([50, 20, 9, 4, 2], np.int64))
     p = M.Predictors(code, rng.integers(0, 9, (2, 1 << 8, 2)).astype(np.int32), 8, rng.normal(0.4, 0.2, (16, 3)).astype(np.float32))
