@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronotrack.llm._batches import parts
 from chronotrack.llm._components import connected_components
 from chronotrack.llm._skew import attach
 from chronotrack.llm._store import write_table
@@ -19,6 +20,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: A pair of similarity 0.8 agrees in all rows of some band with probability 1 - (1 - 0.8^5)^32 > 0.99999.
 BANDS, ROWS = 32, 5
+#: Rows of the MinHash sketch in which a pair must agree to be verified: at similarity 0.8 fewer do with probability 1e-9.
+AGREE = 96
+#: A bucket of up to this many members is joined with itself; members of a larger one are compared in blocks of BLOCK.
+SMALL_BUCKET, BLOCK = 8, 256
+#: Pairs that read one copy of a text or sketch.
+SHARE = 64
 _random = np.random.default_rng(8)
 _FACTOR = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -38,38 +45,68 @@ def similar(a: set[bytes], b: set[bytes]) -> bool:
     return both > 0 and both >= SIMILARITY * (len(a) + len(b) - both)
 
 
-def bands(found: set[bytes]) -> np.ndarray:
+def sketch(found: set[bytes]) -> tuple[np.ndarray, bytes]:
+    """Key of each band, and one byte of each row."""
     h = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(h), 4096):
         np.minimum(least, (h[k : k + 4096, None] * _FACTOR + _SHIFT).min(axis=0), out=least)
     x = (least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64)
-    return (x ^ (x >> np.uint64(29))).view(np.int64)
+    return (x ^ (x >> np.uint64(29))).view(np.int64), ((least * _MIX.ravel()) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a[:, None, :] == b[None, :, :]).sum(axis=2, dtype=np.int16)
 
 
 def _digests(batches):
     for b in batches:
-        texts = b.column(1).cast(pa.binary()).to_pylist()
-        found = [hashlib.md5(b" ".join((t or b"").translate(LOWER).split())).digest() for t in texts]
-        yield pa.record_batch([b.column(0), pa.array(found, pa.binary())], names=["node", "same"])
+        for part in parts(b, 1):
+            found = [hashlib.md5(b" ".join((t or b"").translate(LOWER).split())).digest() for t in part.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.record_batch([part.column(0), pa.array(found, pa.binary())], names=["node", "same"])
 
 
-def _keyed(batches):
+def _sketched(batches):
     for b in batches:
-        sets = [shingles(t or b"") for t in b.column(2).cast(pa.binary()).to_pylist()]
-        row = [k for k, s in enumerate(sets) if s]
-        keys = np.concatenate([np.zeros(0, np.int64), *(bands(sets[k]) for k in row)])
-        at = pa.array(np.repeat(np.array(row, np.int64), BANDS))
-        yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(row))), pa.array(keys)], names=["node", "comp", "band", "key"])
+        for part in parts(b, 2):
+            sets = [shingles(t or b"") for t in part.column(2).cast(pa.binary()).to_pylist()]
+            row = [k for k, s in enumerate(sets) if s]
+            found = [sketch(sets[k]) for k in row]
+            at, keys = pa.array(row, pa.int64()), np.concatenate([np.zeros(0, np.int64), *(k for k, _ in found)])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * BANDS), pa.array(keys))
+            yield pa.record_batch([part.column(0).take(at), part.column(1).take(at), lists, pa.array([s for _, s in found], pa.binary())], names=["node", "comp", "keys", "sketch"])
+
+
+def _likely(batches):
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(f"value_{side}").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for side in "ab")
+        yield b.select(["a", "b", "comp_a", "comp_b"]).filter(pa.array((x == y).sum(axis=1) >= AGREE))
+
+
+def _between(table: pa.Table) -> pa.Table:
+    """Likely pairs of different components between two blocks of a bucket, or inside one."""
+    node, comp, own, x = (table.column(c).to_numpy() for c in ("node", "comp", "own", "i"))
+    sig = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    left = np.flatnonzero(own == x[0])
+    right = left if table.column("j")[0].as_py() == x[0] else np.flatnonzero(own != x[0])
+    out = [np.zeros((0, 2), np.int64)]
+    for k in range(0, len(left), 64):
+        some = left[k : k + 64]
+        p, q = np.nonzero((agreement(sig[some], sig[right]) >= AGREE) & (comp[some][:, None] != comp[right][None, :]))
+        out.append(np.stack([some[p], right[q]], axis=1))
+    a, b = np.concatenate(out).T
+    flip = node[a] > node[b]
+    a, b = np.where(flip, b, a), np.where(flip, a, b)
+    return pa.table([node[a], node[b], comp[a], comp[b]], names=["a", "b", "comp_a", "comp_b"])
 
 
 def _verified(batches):
     for b in batches:
         keep = []
         kept: dict[bytes, set[bytes]] = {}
-        left, right = b.column("text_a").cast(pa.binary()), b.column("text_b").cast(pa.binary())
+        left, right = b.column("value_a").cast(pa.binary()), b.column("value_b").cast(pa.binary())
         for k in range(b.num_rows):
-            if len(kept) > 200:
+            if len(kept) > 50:
                 kept.clear()
             x, y = left[k].as_py(), right[k].as_py()
             for text in (x, y):
@@ -81,21 +118,48 @@ def _verified(batches):
         yield pa.record_batch([part.column("comp_a"), part.column("comp_b")], names=["a", "b"])
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Edges between components: of the pairs (a, b, comp_a, comp_b) those whose texts reach SIMILARITY."""
-    pairs = write_table(pairs.distinct(), "near-pairs")
-    for side in ("a", "b"):
-        uses = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n"))
-        own = write_table(uses.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side), f"near-texts-{side}")
-        pairs = attach(pairs, own, [side], "n", F.xxhash64("a", "b")).drop("n")
-    return pairs.select("a", "b", "comp_a", "comp_b", "text_a", "text_b").mapInArrow(_verified, "a long, b long").distinct()
+PAIR = ["a", "b", "comp_a", "comp_b"]
 
 
-def _merge(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """rows with comp replaced by its component in parts (node, component)."""
+def _with(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """pairs with value_a and value_b: a node in many pairs has a copy of its value for each SHARE of them, so no key is hot and no value is broadcast."""
+    for side in ("a", "b"):
+        uses = write_table(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("uses")), "near-uses")
+        own = uses.join(values.select(F.col("node").alias(side), F.col(value).alias(f"value_{side}")), side)
+        copies = F.ceil(F.col("uses") / SHARE)
+        own = own.select(side, f"value_{side}", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"))
+        pairs = attach(pairs, uses, [side], "uses", F.xxhash64("a", "b")).withColumn("copy", F.pmod(F.xxhash64("a", "b"), copies))
+        pairs = pairs.join(own, [side, "copy"]).drop("copy", "uses")
+    return pairs
+
+
+def _links(pairs: DataFrame, texts: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Edges between components: of the pairs (a, b, comp_a, comp_b) those whose sketches agree and whose texts reach SIMILARITY."""
+    kind = "a long, b long, comp_a long, comp_b long"
+    pairs = write_table(pairs.select(*PAIR).distinct(), "near-pairs")
+    likely = write_table(_with(pairs, sketches, "sketch").select(*PAIR, "value_a", "value_b").mapInArrow(_likely, kind), "near-likely")
+    return _with(likely, texts, "text").select(*PAIR, "value_a", "value_b").mapInArrow(_verified, "a long, b long").distinct()
+
+
+def _candidates(left: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs of different components that share a bucket: small buckets are joined with themselves; of a large one only the pairs whose sketches agree leave the kernel."""
+    small = left.where(F.col("n") <= SMALL_BUCKET)
+    x, y = (small.select("band", "key", F.col("node").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
+    pairs = x.join(y, ["band", "key"]).where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))).select(*PAIR)
+    large = left.where(F.col("n") > SMALL_BUCKET).join(sketches.select("node", "sketch"), "node")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    large = large.withColumn("own", F.pmod(F.xxhash64("node"), blocks))
+    dealt = large.select("band", "key", "node", "comp", "sketch", "own", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    found = dealt.groupBy("band", "key", "i", "j").applyInArrow(_between, "a long, b long, comp_a long, comp_b long")
+    return pairs.union(found)
+
+
+def _merge(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """rows with comp replaced by its component in merged (node, component)."""
     sizes = rows.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
-    moved = write_table(sizes.join(parts.withColumnRenamed("node", "comp"), "comp"), "near-moved")
-    found = attach(rows, moved, ["comp"], "n", F.xxhash64("node", *[c for c in rows.columns if c == "key"]))
+    moved = write_table(sizes.join(merged.withColumnRenamed("node", "comp"), "comp"), "near-moved")
+    found = attach(rows, moved, ["comp"], "n", F.col("node"))
     return found.withColumn("comp", F.coalesce("component", "comp")).select(*rows.columns)
 
 
@@ -103,8 +167,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id, component_id of each row: components of the SimHash links and of the pairs with shingle similarity 0.8 or more.
 
     Texts of equal words have equal fingerprints, so one stands for all. MinHash bands retrieve; in each bucket all
-    members are first compared with its smallest, which joins groups of copies without pairs; then all pairs of a bucket
-    that are still in different components are compared. Every link is verified on the texts. No words: no shingle, so
+    members are first compared with its smallest, which joins groups of copies without pairs; then the members of a bucket
+    that are still in different components are compared by their sketches, those of a large bucket in blocks dealt over
+    the tasks. Every link is verified on the texts. No words: no shingle, so
     only SimHash links. Null ids keep their SimHash component.
     """
     base = write_table(simhash_components(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), "component_id"), "near-base")
@@ -113,7 +178,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = rows.mapInArrow(_digests, "node long, same binary").groupBy("same").agg(F.min("node").alias("node")).select("node").distinct()
     label = base.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("node")).agg(F.min("component_id").cast("long").alias("comp"))
     texts = write_table(rows.join(same, "node").join(label, "node").groupBy("node", "comp", F.md5("text").alias("same")).agg(F.min("text").alias("text")).drop("same"), "near-texts")
-    keys = write_table(texts.select("node", "comp", "text").mapInArrow(_keyed, "node long, comp long, band int, key long"), "near-keys")
+    sketches = write_table(texts.select("node", "comp", "text").mapInArrow(_sketched, "node long, comp long, keys array<long>, sketch binary"), "near-sketches")
+    keys = sketches.select("node", "comp", F.posexplode("keys").alias("band", "key"))
 
     def mixed(keys: DataFrame) -> DataFrame:
         agg = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct("comp", "node")).alias("hub"))
@@ -121,15 +187,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     members = attach(keys, mixed(keys), ["band", "key"], "n", F.col("node")).where(F.col("n").isNotNull())
     stars = members.where(F.col("comp") != F.col("hub.comp")).select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("comp").alias("comp_a"), F.col("hub.comp").alias("comp_b"))
-    first = write_table(_links(stars, texts), "near-links")
-    parts = write_table(connected_components(first), "near-parts")
-    keys = write_table(_merge(keys, parts), "near-keys")
-    left = attach(keys, mixed(keys), ["band", "key"], "n", F.col("node")).where(F.col("n").isNotNull()).select("band", "key", "node", "comp")
-    left = write_table(left, "near-left")
-    x, y = left.select("band", "key", F.col("node").alias("a"), F.col("comp").alias("comp_a")), left.select("band", "key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    pairs = x.join(y, ["band", "key"]).where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))).select("a", "b", "comp_a", "comp_b")
-    parts = connected_components(first.union(_links(pairs, texts)))
+    first = write_table(_links(stars, texts, sketches), "near-links")
+    keys = _merge(sketches.select("node", "comp", "keys"), write_table(connected_components(first), "near-parts"))
+    keys = write_table(keys.select("node", "comp", F.posexplode("keys").alias("band", "key")), "near-keys")
+    left = attach(keys, mixed(keys), ["band", "key"], "n", F.col("node")).where(F.col("n").isNotNull()).select("band", "key", "n", "node", "comp")
+    second = _links(_candidates(write_table(left, "near-left"), sketches), texts, sketches)
+    parts_of = connected_components(first.union(second))
     sizes = base.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"))
-    moved = write_table(sizes.join(parts.withColumnRenamed("node", "component_id"), "component_id"), "near-moved")
+    moved = write_table(sizes.join(parts_of.withColumnRenamed("node", "component_id"), "component_id"), "near-moved")
     found = attach(base, moved, ["component_id"], "n", F.col("doc_id"))
     return found.select(F.col("doc_id").alias(id_col), F.coalesce("component", "component_id").alias("component_id"))

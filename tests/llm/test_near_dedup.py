@@ -28,8 +28,8 @@ def _data():
     return data
 
 
-def test_components_are_those_of_all_similar_pairs(spark):
-    data = _data()
+def test_components_are_those_of_all_similar_pairs(spark, data=None):
+    data = data or _data()
     sets = {r[0]: N.shingles(r[1].encode()) for r in data}
     top = {k: k for k in sets}
 
@@ -47,6 +47,21 @@ def test_components_are_those_of_all_similar_pairs(spark):
     assert got == {k: find(k) for k in sets}
 
 
+def test_large_buckets_in_blocks(spark, monkeypatch):
+    """Many texts that share half their words: large buckets whose members are no copies; small limits, so blocks meet."""
+    monkeypatch.setattr(N, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "SHARE", 3)
+    rng = random.Random(12)
+    names = [f"w{k}" for k in range(4000)]
+    passage = [rng.choice(names) for _ in range(160)]
+    data = []
+    for group in range(20):
+        base = [*passage, *(rng.choice(names) for _ in range(60))]
+        data += [[3 * group + k, " ".join(_edited(rng, base, 2 * k)), "en", "s1"] for k in range(3)]
+    test_components_are_those_of_all_similar_pairs(spark, data)
+
+
 def test_stage_drops_edited_copies(spark):
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, _data()), "").collect()}
     assert 0 in kept and 1 not in kept and 2 not in kept
