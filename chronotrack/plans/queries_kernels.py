@@ -63,18 +63,19 @@ def persistent_pixels(spark, d):
     return I.persistent_pixels(fg, planes(spark, d), "clip", 3, 0.3)
 
 
-@query("shift_grid_argmin", _PIX + """, a as (select * from q where frame=0), b as (select * from q where frame=1), s as (select a.clip, dx, dy, avg(abs(a.luma-b.luma)) as cost from a, generate_series(-2,2) x(dx), generate_series(-2,2) y(dy), b where b.clip=a.clip and b.px=a.px+dx and b.py=a.py+dy group by 1,2,3), r as (select *, row_number() over (partition by clip order by cost, abs(dx)+abs(dy), dy, dx) as rn from s)
-select clip, dx::int as dx, dy::int as dy, round(cost,6)+0.0 as cost from r where rn=1""")
+@query("shift_grid_argmin", _PIX + """, s as (select a.vec_id, dx, dy, avg(abs(a.luma-b.luma)) as cost from q a, generate_series(-2,2) x(dx), generate_series(-2,2) y(dy), q b where b.clip=a.clip and b.vec_id=a.vec_id+1 and b.px=a.px+dx and b.py=a.py+dy group by 1,2,3), r as (select *, row_number() over (partition by vec_id order by cost, abs(dx)+abs(dy), dy, dx) as rn from s)
+select vec_id, dx::int as dx, dy::int as dy, round(cost,6)+0.0 as cost from r where rn=1""")
 def shift_grid_argmin(spark, d):
+    """Every frame against the next one of its clip."""
     p = pixels(spark, d)
-    s = I.shift_scores(p.where("frame = 0"), p.where("frame = 1"), "clip", 2)
-    return s.select("clip", "dx", "dy", tidy("cost").alias("cost"))
+    s = I.shift_scores(p, p.where("frame > 0").withColumn("vec_id", F.col("vec_id") - 1), "vec_id", 2)
+    return s.select("vec_id", "dx", "dy", tidy("cost").alias("cost"))
 
 
 @query("component_stats", _PIX + """, l as (select vec_id, luma//40 as lab, px, py from q), g as (select vec_id, lab, count(*) as area, avg(px) as cx, avg(py) as cy, min(px) as l, max(px) as r, min(py) as t, max(py) as b, var_pop(px) as vx, var_pop(py) as vy, covar_pop(px,py) as cv from l group by 1,2)
-select vec_id, lab, area, round(cx,6)+0.0 as cx, round(cy,6)+0.0 as cy, round(area/((r-l+1)*(b-t+1)::double),6)+0.0 as compactness, round(greatest(1.0,sqrt(greatest((vx+vy)/2+sqrt(((vx-vy)/2)*((vx-vy)/2)+cv*cv),1e-6)/greatest((vx+vy)/2-sqrt(((vx-vy)/2)*((vx-vy)/2)+cv*cv),1e-6))),4)+0.0 as axis_ratio from g where area>8""")
+select vec_id, lab, area, round(cx,6)+0.0 as cx, round(cy,6)+0.0 as cy, round(area/((r-l+1)*(b-t+1)::double),6)+0.0 as compactness, round(greatest(1.0,sqrt(greatest((vx+vy)/2+sqrt(((vx-vy)/2)*((vx-vy)/2)+cv*cv),1e-6)/greatest((vx+vy)/2-sqrt(((vx-vy)/2)*((vx-vy)/2)+cv*cv),1e-6))),4)+0.0 as axis_ratio from g""")
 def component_stats(spark, d):
-    s = I.component_stats(pixels(spark, d).withColumn("lab", F.floor(F.col("luma") / 40)), ["vec_id", "lab"]).where("area > 8")
+    s = I.component_stats(pixels(spark, d).withColumn("lab", F.floor(F.col("luma") / 40)), ["vec_id", "lab"])
     return s.select("vec_id", "lab", "area", tidy("cx").alias("cx"), tidy("cy").alias("cy"), tidy("compactness").alias("compactness"), tidy("axis_ratio", 4).alias("axis_ratio"))
 
 
@@ -85,10 +86,10 @@ def plane_aggregates(spark, d):
     return g.agg(tidy(F.stddev_pop("luma")).alias("sd"), tidy(normalise_hue(F.degrees(F.atan2(F.avg(F.sin(a)), F.avg(F.cos(a))))), 4).alias("circular"), tidy(F.avg((F.col("luma") >= 150).cast("double"))).alias("share"))
 
 
-@query("source_validity", _PIX + ", f as (select clip, frame, sum(luma) as s, count(*) as n, count(*) filter (luma>=150) as b from q group by 1,2) select clip, round(sum(s)/sum(n)::double,6)+0.0 as mean_luma, round(sum(b)/sum(n)::double,6)+0.0 as bright_share, round(max(s/n::double),6)+0.0 as brightest_frame, case when max(s/n::double)<4 then 'BLACK_FRAMES' else 'VALID' end as verdict from f group by 1")
+@query("source_validity", _PIX + ", f as (select clip, frame, sum(luma) as s, count(*) as n, count(*) filter (luma>=150) as b from q group by 1,2) select clip, round(sum(s)/sum(n)::double,9)+0.0 as mean_luma, round(sum(b)/sum(n)::double,9)+0.0 as bright_share, round(max(s/n::double),9)+0.0 as brightest_frame, case when max(s/n::double)<4 then 'BLACK_FRAMES' else 'VALID' end as verdict from f group by 1")
 def source_validity(spark, d):
     v = I.source_validity(pixels(spark, d), "clip", "frame", 150)
-    return v.select("clip", *[tidy(c).alias(c) for c in ("mean_luma", "bright_share", "brightest_frame")], "verdict")
+    return v.select("clip", *[tidy(c, 9).alias(c) for c in ("mean_luma", "bright_share", "brightest_frame")], "verdict")
 
 
 @query("structure_pixels", _PIX + ", n as (select vec_id, px, py, greatest(abs(luma-lag(luma) over h), abs(luma-lead(luma) over h), abs(luma-lag(luma) over v), abs(luma-lead(luma) over v)) as top from q window h as (partition by vec_id, py order by px), v as (partition by vec_id, px order by py)) select vec_id, count(*) filter (top>=24) as structure from n group by 1")
@@ -141,49 +142,44 @@ def throttled_level(spark, d):
 
 
 def blob_rows(spark, d):
-    """Blob rows of a clip for the native line search: two events a frame, twenty frames a user."""
+    """All events as blob rows for the native line search: two to a frame, twelve frames to a clip, a user's events in as many clips as they fill."""
     rn = F.row_number().over(W.partitionBy("user_id").orderBy("us")) - 1
-    e = events(spark, d).withColumn("rn", rn).where("rn < 24")
-    return e.select("user_id", F.floor(F.col("rn") / 2).alias("frame_order"), F.col("event_id").alias("blob_id"), (F.floor(F.col("rn") / 2) / 120.0).alias("t"), "x", "y")
+    e = events(spark, d).withColumn("rn", rn)
+    clip, frame = F.concat_ws("-", "user_id", F.floor(F.col("rn") / 24)), F.floor(F.col("rn") % 24 / 2)
+    return e.select(clip.alias("clip"), frame.alias("frame_order"), F.col("event_id").alias("blob_id"), (frame / 120.0).alias("t"), "x", "y")
 
 
-_BL = EV + ", b as (select user_id, rn//2 as frame_order, event_id as blob_id, (rn//2)/120.0 as t, x, y from (select *, row_number() over (partition by user_id order by us)-1 as rn from e) where rn<24)"
-_HY = _BL + ", h as (select a.user_id, a.blob_id as a_id, b.blob_id as b_id, a.frame_order as fa, b.frame_order as fb, a.x as ax, a.y as ay, b.x as bx, b.y as by_, abs(b.x-a.x) as travel, sign(b.x-a.x) as dir, sqrt(power(b.x-a.x,2)+power(b.y-a.y,2)) as span from b a join b b on a.user_id=b.user_id and a.frame_order<b.frame_order where abs(b.x-a.x)>=9 and abs(b.x-a.x)/(b.t-a.t)>=240)"
+_BL = EV + ", b as (select concat_ws('-', user_id, rn//24) as clip, rn%24//2 as frame_order, event_id as blob_id, (rn%24//2)/120.0 as t, x, y from (select *, row_number() over (partition by user_id order by us)-1 as rn from e))"
+_HY = _BL + ", h as (select a.clip, a.blob_id as a_id, b.blob_id as b_id, a.frame_order as fa, b.frame_order as fb, a.x as ax, a.y as ay, b.x as bx, b.y as by_, abs(b.x-a.x) as travel, sign(b.x-a.x) as dir, sqrt(power(b.x-a.x,2)+power(b.y-a.y,2)) as span from b a join b b on a.clip=b.clip and a.frame_order<b.frame_order where abs(b.x-a.x)>=9 and abs(b.x-a.x)/(b.t-a.t)>=240)"
 
 
-@query("pair_hypotheses", _HY + " select user_id, a_id as a_blob_id, b_id as b_blob_id, round(travel,6)+0.0 as travel, dir as direction, round(span,6)+0.0 as span from h")
+@query("pair_hypotheses", _HY + " select clip, a_id as a_blob_id, b_id as b_blob_id, round(travel,6)+0.0 as travel, dir as direction, round(span,6)+0.0 as span from h")
 def pair_hypotheses(spark, d):
-    h = T.line_hypotheses(blob_rows(spark, d), "user_id")
-    return h.select("user_id", "a_blob_id", "b_blob_id", tidy("travel").alias("travel"), "direction", tidy("span").alias("span"))
+    h = T.line_hypotheses(blob_rows(spark, d), "clip")
+    return h.select("clip", "a_blob_id", "b_blob_id", tidy("travel").alias("travel"), "direction", tidy("span").alias("span"))
 
 
-@query("best_inlier_per_frame", _HY + """, i as (select h.user_id, a_id, b_id, b.frame_order, b.blob_id, abs((by_-ay)*b.x-(bx-ax)*b.y+bx*ay-by_*ax)/span as dist, (b.x-ax)*dir as along, travel from h join b on b.user_id=h.user_id and b.frame_order between fa and fb), k as (select *, row_number() over (partition by user_id, a_id, b_id, frame_order order by dist, blob_id) as rn from i where dist<=8 and along between -1 and travel+1)
-select user_id, a_id as a_blob_id, b_id as b_blob_id, count(*) as inliers, round(sum(dist),4)+0.0 as dist from k where rn=1 group by 1,2,3 having count(*)>=4""")
+@query("best_inlier_per_frame", _HY + """, i as (select h.clip, a_id, b_id, b.frame_order, b.blob_id, abs((by_-ay)*b.x-(bx-ax)*b.y+bx*ay-by_*ax)/span as dist, (b.x-ax)*dir as along, travel from h join b on b.clip=h.clip and b.frame_order between fa and fb), k as (select *, row_number() over (partition by clip, a_id, b_id, frame_order order by dist, blob_id) as rn from i where dist<=8 and along between -1 and travel+1)
+select clip, a_id as a_blob_id, b_id as b_blob_id, count(*) as inliers, round(sum(dist),4)+0.0 as dist from k where rn=1 group by 1,2,3 having count(*)>=4""")
 def best_inlier_per_frame(spark, d):
     b = blob_rows(spark, d)
-    i = T.best_inliers(T.line_hypotheses(b, "user_id"), b, "user_id")
-    g = i.groupBy("user_id", "a_blob_id", "b_blob_id").agg(F.count(F.lit(1)).alias("inliers"), tidy(F.sum("distance"), 4).alias("dist"))
+    i = T.best_inliers(T.line_hypotheses(b, "clip"), b, "clip")
+    g = i.groupBy("clip", "a_blob_id", "b_blob_id").agg(F.count(F.lit(1)).alias("inliers"), tidy(F.sum("distance"), 4).alias("dist"))
     return g.where("inliers >= 4")
 
 
-@query("subwindow_scores", _BL + """, o as (select user_id, frame_order as f, avg(x) as x from b group by 1,2), s as (select *, x-lag(x) over (partition by user_id order by f) as dx from o), w as (select a.user_id, a.f as f0, b.f as f1, b.x-a.x as travel from o a join o b on a.user_id=b.user_id and b.f between a.f+3 and a.f+23)
-select w.user_id, f0, f1, round(travel,6)+0.0 as travel, round(max(abs(dx)),6)+0.0 as biggest from w join s on s.user_id=w.user_id and s.f>f0 and s.f<=f1 group by 1,2,3,4""")
+@query("subwindow_scores", _BL + """, o as (select clip, frame_order as f, avg(x) as x from b group by 1,2), s as (select *, x-lag(x) over (partition by clip order by f) as dx from o), w as (select a.clip, a.f as f0, b.f as f1, b.x-a.x as travel from o a join o b on a.clip=b.clip and b.f between a.f+3 and a.f+23)
+select w.clip, f0, f1, round(travel,6)+0.0 as travel, round(max(abs(dx)),6)+0.0 as biggest from w join s on s.clip=w.clip and s.f>f0 and s.f<=f1 group by 1,2,3,4""")
 def subwindow_scores(spark, d):
-    o = blob_rows(spark, d).groupBy("user_id", F.col("frame_order").alias("f")).agg(F.avg("x").alias("x"))
-    s = o.withColumn("dx", F.abs(F.col("x") - F.lag("x").over(W.partitionBy("user_id").orderBy("f")))).select("user_id", "f", "dx")
-    a, b = o.select("user_id", F.col("f").alias("f0"), F.col("x").alias("x0")), o.select("user_id", F.col("f").alias("f1"), F.col("x").alias("x1"))
-    w = a.join(b, "user_id").where(F.col("f1").between(F.col("f0") + 3, F.col("f0") + 23))
-    j = w.join(s, "user_id").where((F.col("f") > F.col("f0")) & (F.col("f") <= F.col("f1")))
-    return j.groupBy("user_id", "f0", "f1").agg(tidy(F.max(F.col("x1") - F.col("x0"))).alias("travel"), tidy(F.max("dx")).alias("biggest"))
+    o = blob_rows(spark, d).groupBy("clip", F.col("frame_order").alias("f")).agg(F.avg("x").alias("x"))
+    return T.subwindows(o, "clip", "f", "x").select("clip", F.col("first").alias("f0"), F.col("last").alias("f1"), tidy("travel").alias("travel"), tidy("biggest").alias("biggest"))
 
 
 @query("scout_sessions", EV + """, h as (select user_id, us//3600000000 as f, x, y from e), r as (select *, sum(case when f-p<=24 then 0 else 1 end) over (partition by user_id order by f, x rows unbounded preceding) as run from (select *, lag(f) over (partition by user_id order by f, x) as p from h)), g as (select user_id, run, min(f) as first, max(f) as last, count(*) as rows, avg(y) as ma from r group by 1,2),
 k as (select *, row_number() over (partition by user_id order by last-first desc, rows desc, ma desc, run) as rn from g where rows>=3) select user_id, run, first, last, rows, last-first as travel from k where rn=1""")
 def scout_sessions(spark, d):
     h = events(spark, d).select("user_id", F.floor(F.col("us") / 3_600_000_000).alias("f"), "x", "y")
-    w = W.partitionBy("user_id").orderBy("f", "x")
-    new = F.coalesce(F.col("f") - F.lag("f").over(w) > 24, F.lit(True)).cast("int")
-    r = h.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    r = T.gap_runs(h, "user_id", "f", 24)
     return T.best_run(r.withColumn("z", F.col("f")), "user_id", "f", "z", "y")
 
 
@@ -414,12 +410,11 @@ def success_contract(spark, d):
     return table(spark, d, "events").select("event_id", r.alias("reason"))
 
 
-@query("reason_tables", "with t as (select user_id, event_id, case event_id%4 when 0 then 'MANY_TO_ONE_MAPPING' when 1 then 'RESIDUAL_TOO_LARGE' when 2 then 'NON_MONOTONIC_MAPPING' end as r from events where event_id%8<>1 or user_id%3=0) select user_id, case when bool_or(r='RESIDUAL_TOO_LARGE') then 'RESIDUAL_TOO_LARGE' when bool_or(r='MANY_TO_ONE_MAPPING') then 'MANY_TO_ONE_MAPPING' when bool_or(r='NON_MONOTONIC_MAPPING') then 'NON_MONOTONIC_MAPPING' else 'NO_CANDIDATE' end as worst from t group by 1")
+@query("reason_tables", "with t as (select user_id, event_id, case when user_id%3=1 then null when event_id%4=0 then 'MANY_TO_ONE_MAPPING' when event_id%4=1 then 'RESIDUAL_TOO_LARGE' when event_id%4=2 then 'NON_MONOTONIC_MAPPING' end as r from events) select user_id, case when bool_or(r='RESIDUAL_TOO_LARGE') then 'RESIDUAL_TOO_LARGE' when bool_or(r='MANY_TO_ONE_MAPPING') then 'MANY_TO_ONE_MAPPING' when bool_or(r='NON_MONOTONIC_MAPPING') then 'NON_MONOTONIC_MAPPING' else 'NO_CANDIDATE' end as worst from t group by 1")
 def reason_tables(spark, d):
     m = F.col("event_id") % 4
-    r = F.when(m == 0, "MANY_TO_ONE_MAPPING").when(m == 1, "RESIDUAL_TOO_LARGE").when(m == 2, "NON_MONOTONIC_MAPPING")
-    e = table(spark, d, "events").where("event_id % 8 <> 1 or user_id % 3 = 0")
-    return e.groupBy("user_id").agg(Y.most_specific(r).alias("worst"))
+    r = F.when(F.col("user_id") % 3 == 1, None).when(m == 0, "MANY_TO_ONE_MAPPING").when(m == 1, "RESIDUAL_TOO_LARGE").when(m == 2, "NON_MONOTONIC_MAPPING")
+    return table(spark, d, "events").groupBy("user_id").agg(Y.most_specific(r).alias("worst"))
 
 
 @query("reason_translation", "select event_id, case event_id%3 when 0 then 'BAD_TIMESTAMPS' when 1 then 'EXCESSIVE_RESIDUAL' end as reason from events")

@@ -427,6 +427,6 @@ def diagnostic_lines(spark, d):
     return R.chunked_lines(v, "user_id", "ids", 8)
 
 
-@query("history_newest_first", "select o_orderkey from orders order by o_orderdate desc, o_orderkey limit 50")
+@query("history_newest_first", "select o_orderkey from orders order by o_orderdate desc, o_orderkey")
 def history_newest_first(spark, d):
-    return R.newest_first(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey").limit(50).select("o_orderkey")
+    return R.newest_first(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey").select("o_orderkey")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,8 +22,22 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save(results: DataFrame, path: str) -> None:
-    """Replace the stored results; the committer swaps them in only when all is written."""
-    results.write.mode("overwrite").parquet(path)
+    """Replace the stored results: all is written beside them first, then the folders change places. If the job fails, the old rows stay."""
+    spark = results.sparkSession
+    at = lambda tail="": spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + tail)
+    fs = at().getFileSystem(spark._jsc.hadoopConfiguration())
+    mark = uuid.uuid4().hex
+    new, old = f".new-{mark}", f".old-{mark}"
+    try:
+        results.write.parquet(path.rstrip("/") + new)
+        if fs.exists(at()) and not fs.rename(at(), at(old)):
+            raise OSError(f"cannot replace {path}")
+        if not fs.rename(at(new), at()):
+            fs.rename(at(old), at())
+            raise OSError(f"cannot replace {path}")
+        fs.delete(at(old), True)
+    finally:
+        fs.delete(at(new), True)
 
 
 def summary(outcomes: DataFrame, key: str) -> DataFrame:

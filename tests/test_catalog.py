@@ -33,3 +33,10 @@ def test_equals_duckdb(spark, duck, name):
     assert sorted(a.columns) == sorted(b.columns)
     columns = sorted(a.columns)
     assert plain(a, columns).equals(plain(b, columns))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
+def test_runs(spark, name):
+    df = catalog.QUERIES[name](spark, SF)
+    assert df.columns and len(df.collect()) > 0

@@ -38,3 +38,15 @@ def test_scalars(spark):
     assert h[:] == (0.0, 1.0, 1.0)
     assert one.select(T.positive_feet(F.lit(" 2.5 "))).first()[0] == 2.5
     assert one.select(T.positive_feet(F.lit("nan"))).first()[0] is None
+
+
+def test_failed_save_keeps_the_old_rows(spark, tmp_path):
+    path = f"{tmp_path}/store"
+    rows = spark.createDataFrame([("a", 1)], "id string, created_ms long").selectExpr("id", "created_ms", *[f"cast(null as {t}) as {c}" for c, t in (x.strip().split(" ") for x in R.RESULT_SCHEMA.split(",")[2:])])
+    R.save(rows, path)
+    with pytest.raises(Exception, match="broken"):
+        R.save(rows.withColumn("id", F.raise_error(F.lit("broken"))), path)
+    assert [r.id for r in R.load(spark, path).collect()] == ["a"]
+    R.save(R.upsert(R.load(spark, path), rows.withColumn("id", F.lit("b")), "id"), path)
+    assert {r.id for r in R.load(spark, path).collect()} == {"a", "b"}
+    assert [p.name for p in tmp_path.iterdir()] == ["store"]
