@@ -24,8 +24,6 @@ BANDS, ROWS = 32, 5
 AGREE = 96
 #: A bucket of up to this many members is joined with itself; members of a larger one are compared in blocks of BLOCK.
 SMALL_BUCKET, BLOCK = 8, 256
-#: Pairs that read one copy of a text or sketch.
-SHARE = 64
 _random = np.random.default_rng(8)
 _FACTOR = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -122,23 +120,20 @@ PAIR = ["a", "b", "comp_a", "comp_b"]
 
 
 def _with(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
-    """pairs with value_a and value_b: a node in many pairs has a copy of its value for each SHARE of them, so no key is hot and no value is broadcast."""
+    """pairs with value_a and value_b. A node in many pairs makes its partition large, which the adaptive skew join splits."""
     for side in ("a", "b"):
-        uses = write_table(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("uses")), "near-uses")
-        own = uses.join(values.select(F.col("node").alias(side), F.col(value).alias(f"value_{side}")), side)
-        copies = F.ceil(F.col("uses") / SHARE)
-        own = own.select(side, f"value_{side}", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"))
-        pairs = attach(pairs, uses, [side], "uses", F.xxhash64("a", "b")).withColumn("copy", F.pmod(F.xxhash64("a", "b"), copies))
-        pairs = pairs.join(own, [side, "copy"]).drop("copy", "uses")
-    return pairs
+        pairs = pairs.join(values.select(F.col("node").alias(side), F.col(value).alias(f"value_{side}")), side)
+    return pairs.select(*PAIR, "value_a", "value_b")
 
 
 def _links(pairs: DataFrame, texts: DataFrame, sketches: DataFrame) -> DataFrame:
     """Edges between components: of the pairs (a, b, comp_a, comp_b) those whose sketches agree and whose texts reach SIMILARITY."""
     kind = "a long, b long, comp_a long, comp_b long"
     pairs = write_table(pairs.select(*PAIR).distinct(), "near-pairs")
-    likely = write_table(_with(pairs, sketches, "sketch").select(*PAIR, "value_a", "value_b").mapInArrow(_likely, kind), "near-likely")
-    return _with(likely, texts, "text").select(*PAIR, "value_a", "value_b").mapInArrow(_verified, "a long, b long").distinct()
+    likely = write_table(_with(pairs, sketches, "sketch").mapInArrow(_likely, kind), "near-likely")
+    ends = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
+    needed = write_table(texts.join(ends, "node", "left_semi").select("node", "text"), "near-needed")
+    return _with(likely, needed, "text").mapInArrow(_verified, "a long, b long").distinct()
 
 
 def _candidates(left: DataFrame, sketches: DataFrame) -> DataFrame:

@@ -51,7 +51,6 @@ def test_large_buckets_in_blocks(spark, monkeypatch):
     """Many texts that share half their words: large buckets whose members are no copies; small limits, so blocks meet."""
     monkeypatch.setattr(N, "SMALL_BUCKET", 2)
     monkeypatch.setattr(N, "BLOCK", 8)
-    monkeypatch.setattr(N, "SHARE", 3)
     rng = random.Random(12)
     names = [f"w{k}" for k in range(4000)]
     passage = [rng.choice(names) for _ in range(160)]
