@@ -11,6 +11,8 @@ from chronotrack.llm._store import write_table
 SWEEPS = 12
 #: Sweeps between written tables.
 CUT = 4
+#: Up to this many cells are raked in one task, where windows need no shuffle (as many rows as a broadcast of them takes).
+FEW_CELLS = 200_000
 #: Exponent that flattens each observed marginal into its default target.
 FLATTEN = 0.5
 #: Share of all tokens that the mixture asks for.
@@ -41,10 +43,14 @@ def rake(cells: DataFrame, dims: tuple[str, ...], targets: dict[str, dict[str, f
 
     Starts from the cells' own tokens. Each sweep scales every cell to each marginal in turn, then holds no cell above
     the tokens that it has. A target not given is the observed marginal to the power FLATTEN, made to sum to 1; values
-    missing in a given target get 0. Only cells move: their number is that of the distinct combinations.
+    missing in a given target get 0. Only cells move: their number is that of the distinct combinations. FEW_CELLS or
+    fewer are raked in one partition, which already satisfies every window; more by shuffles, with the same weights.
     """
     cells = write_table(cells, "cells")
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    total, n = cells.agg(F.sum("tokens"), F.count(F.lit(1))).first()
+    total = float(total or 0)
+    held_together = (lambda df: df.coalesce(1)) if n <= FEW_CELLS else lambda df: df
+    cells = held_together(cells)
     for d in dims:
         if targets and d in targets:
             share = F.lit(0.0)
@@ -62,7 +68,7 @@ def rake(cells: DataFrame, dims: tuple[str, ...], targets: dict[str, dict[str, f
             now = now.withColumn("weight", F.when(held > 0, F.col("weight") * (F.col(f"aim_{d}") * F.lit(total * budget) / held)).otherwise(F.lit(0.0)))
         now = now.withColumn("weight", F.least(F.col("weight"), F.col("tokens").cast("double")))
         if sweep % CUT == 0 or sweep == sweeps:
-            now = write_table(now, "cells")
+            now = held_together(write_table(now, "cells"))
     return now
 
 
@@ -93,7 +99,7 @@ def mix_sources(
     raked = raked.select(F.col("source").alias("__source"), F.col("lang").alias("__lang"), F.col("topic").alias("__topic"), p.alias("keep_probability"))
     n = raked.count()
     # Rows meet their cell by broadcast while the cells are few; beyond that, by a shuffle join that AQE may split.
-    found = keyed.join(F.broadcast(raked) if n <= 200_000 else raked, ["__source", "__lang", "__topic"])
+    found = keyed.join(F.broadcast(raked) if n <= FEW_CELLS else raked, ["__source", "__lang", "__topic"])
     found = found.drop("topic").withColumn("topic", F.col("__topic")).withColumn("sampled", uniform(F.col(id_col)) < F.col("keep_probability"))
     return found.drop("__source", "__lang", "__topic")
 
