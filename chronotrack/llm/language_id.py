@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import itertools
 import math
 from collections import Counter
@@ -202,7 +203,16 @@ class Scorer:
         return names, scores
 
 
-_scorers: dict[str, Scorer] = {}
+_scorers: dict[bytes, Scorer] = {}
+
+
+def _scorer(langs: list[str], prob: np.ndarray, model: str) -> Scorer:
+    """The worker's own, kept between tasks; known by all bytes of the model."""
+    key = hashlib.md5(repr((model, list(langs), prob.shape)).encode() + np.ascontiguousarray(prob).tobytes()).digest()
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(langs, prob, model)
+    return _scorers[key]
 
 
 def learn_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str, fit_docs: int = FIT_DOCS, model: str = DEFAULT_MODEL):
@@ -231,11 +241,9 @@ def identify_languages(
     sent = docs.sparkSession.sparkContext.broadcast((langs, prob))
 
     def predict(batches):
-        if (key := f"{model}:{sent.value[0]}:{sent.value[1].sum()!r}") not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(*sent.value, model)
+        scorer = _scorer(*sent.value, model)
         for b in batches:
-            names, scores = _scorers[key].score(b.column(1).to_pylist())
+            names, scores = scorer.score(b.column(1).to_pylist())
             yield pa.record_batch([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     id_type = docs.schema[id_col].dataType.simpleString()

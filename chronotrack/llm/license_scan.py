@@ -181,6 +181,13 @@ class Scanner:
 _scanners: dict[tuple, Scanner] = {}
 
 
+def _scanner(fixed: tuple) -> Scanner:
+    """The worker's own, kept between tasks."""
+    if fixed not in _scanners:
+        _scanners[fixed] = Scanner(fixed)
+    return _scanners[fixed]
+
+
 def license_scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, matches (template, first_word, containment) of each row.
 
@@ -195,9 +202,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", t
     fixed = tuple(map(tuple, templates))
 
     def scan(batches):
-        if fixed not in _scanners:
-            _scanners[fixed] = Scanner(fixed)
-        one = _scanners[fixed]
+        one = _scanner(fixed)
         kind = pa.list_(pa.struct([("template", pa.string()), ("first_word", pa.int64()), ("containment", pa.float64())]))
         for b in batches:
             got = one.scan(b.column(1).cast(pa.binary()).to_pylist())
