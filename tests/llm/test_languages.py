@@ -39,3 +39,13 @@ def test_expected_uses_of_long_units():
     for u, n in Counter(us).items():
         L._expected_long(p, prob.tolist(), u, n, seen)
     assert np.allclose(seen, L._expected(p, prob, us, np.ones(len(us))), rtol=1e-9)
+
+
+def test_a_worker_tells_models_apart():
+    """Two models with equal languages and equal sums are two scorers; the same model is one."""
+    p = np.full((len(L.pieces(L.DEFAULT_MODEL).strings) + 1, 2), 0.5)
+    q = p.copy()
+    q[0], q[1] = (0.6, 0.4), (0.4, 0.6)
+    one = L._scorer(["a", "b"], p, L.DEFAULT_MODEL)
+    assert L._scorer(["a", "b"], p.copy(), L.DEFAULT_MODEL) is one
+    assert L._scorer(["a", "b"], q, L.DEFAULT_MODEL) is not one

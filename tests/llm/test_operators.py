@@ -186,6 +186,16 @@ def test_parts_bound_what_is_read_at_once():
 # --- 4 mixing
 
 
+def test_one_task_rakes_as_many_do(spark, monkeypatch):
+    cells = spark.createDataFrame([(f"s{i % 3}", f"l{i % 5}", f"t{i % 2}", 10 * i + 1) for i in range(30)], "source string, lang string, topic string, tokens long").distinct()
+    cells = cells.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
+    one = X.rake(cells, X.DIMENSIONS, None, 0.3, 6).toPandas()
+    monkeypatch.setattr(X, "FEW_CELLS", 0)
+    many = X.rake(cells, X.DIMENSIONS, None, 0.3, 6).toPandas()
+    a, b = (x.sort_values(list(X.DIMENSIONS)).weight.to_numpy() for x in (one, many))
+    assert len(a) == 30 and np.allclose(a, b, rtol=1e-9)
+
+
 def test_raked_marginals(spark):
     cells = spark.createDataFrame([(f"s{i}", f"l{j}", f"t{k}", 100 + 37 * i + 11 * j * k) for i in range(4) for j in range(3) for k in range(2)], "source string, lang string, topic string, tokens long")
     aim = {"source": {f"s{i}": 0.25 for i in range(4)}, "lang": {"l0": 0.2, "l1": 0.3, "l2": 0.5}, "topic": {"t0": 0.5, "t1": 0.5}}
