@@ -12,11 +12,13 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set only where that setting is missing (tests)."""
+    """The folder in spark.checkpoint.dir. Without it a local session gets a temporary one, a cluster an error: its machines share none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
     if not (own := spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chronotrack-"))
         own = spark.sparkContext.getCheckpointDir()
     return own
