@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -22,15 +25,31 @@ DIMENSIONS = ("source", "lang", "topic")
 TOPICS = (("legal", r"(?i)licen[sc]e|copyright|all rights reserved"), ("contact", r"@[A-Za-z0-9]|https?://|\d{3}[-. ]\d{4}"), ("data", r"[|{}<>=]"), ("shout", r"!!|\*\*\*"))
 
 
+#: The white space of tokens, as characters.
+SPACE = " \t\n\x0b\x0c\r"
+
+
 def default_topic(text: Column) -> Column:
+    """The first of TOPICS whose pattern the text holds, by searches for fixed strings where these are enough."""
+    text = F.coalesce(text, F.lit(""))
+    lower = F.lower(text)
+    any_of = lambda where, *words: functools.reduce(operator.or_, (F.contains(where, F.lit(w)) for w in words))
+    holds = {
+        "legal": any_of(lower, "license", "licence", "copyright", "all rights reserved"),
+        "contact": any_of(text, "http://", "https://") | (F.contains(text, F.lit("@")) & text.rlike("@[A-Za-z0-9]")) | text.rlike(r"\d{3}[-. ]\d{4}"),
+        "data": any_of(text, *"|{}<>="),
+        "shout": any_of(text, "!!", "***"),
+    }
     found = F.lit("prose")
-    for name, pattern in reversed(TOPICS):
-        found = F.when(F.coalesce(text, F.lit("")).rlike(pattern), name).otherwise(found)
+    for name, _ in reversed(TOPICS):
+        found = F.when(holds[name], name).otherwise(found)
     return found
 
 
 def token_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    """Runs of other characters than white space, each replaced by one character with what follows it, so no array of them is made."""
+    text = F.ltrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
+    return F.length(F.regexp_replace(text, r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+", "x")).cast("long")
 
 
 def uniform(id_col: Column) -> Column:
@@ -51,16 +70,20 @@ def rake(cells: DataFrame, dims: tuple[str, ...], targets: dict[str, dict[str, f
     total = float(total or 0)
     held_together = (lambda df: df.coalesce(1)) if n <= FEW_CELLS else lambda df: df
     cells = held_together(cells)
+    free = [d for d in dims if not (targets and d in targets)]
+    marginal = {d: cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(FLATTEN)).alias("m")) for d in free}
+    sizes = {}
+    if free:
+        each = functools.reduce(DataFrame.union, (marginal[d].agg(F.lit(d).alias("d"), F.sum("m").alias("m")) for d in free))
+        sizes = {r.d: r.m or 1.0 for r in each.collect()}
     for d in dims:
-        if targets and d in targets:
+        if d not in free:
             share = F.lit(0.0)
             for value, x in sorted(targets[d].items()):
                 share = F.when(F.col(d) == value, F.lit(float(x))).otherwise(share)
             cells = cells.withColumn(f"aim_{d}", share)
         else:
-            own = cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(FLATTEN)).alias("m"))
-            sizes = own.agg(F.sum("m")).first()[0] or 1.0
-            cells = cells.join(own.select(d, (F.col("m") / F.lit(sizes)).alias(f"aim_{d}")), d)
+            cells = cells.join(marginal[d].select(d, (F.col("m") / F.lit(sizes[d])).alias(f"aim_{d}")), d)
     now = cells.withColumn("weight", F.col("tokens").cast("double") * budget)
     for sweep in range(1, sweeps + 1):
         for d in dims:
