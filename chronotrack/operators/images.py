@@ -435,6 +435,10 @@ class MotionConfig:
     max_area: int = 400
     keep: int = 6
     max_shift: float = 1.5
+    max_single_shift: float = 4.0
+    expected: tuple[float, float, float] | None = None  # area, short side and long side of the ball in pixels
+    area_ratio: tuple[float, float] = (0.35, 2.5)
+    side_delta: float = 1.0
     persistent_frames: int = 3
     persistent_share: float = 0.6
     min_solidity: float = 0.6
@@ -443,17 +447,33 @@ class MotionConfig:
     merge: int = 1
 
 
+def expected_size_score(blob: dict, c: MotionConfig) -> float | None:
+    """1 for a blob of the expected sides, less by the larger relative error; None where area or sides are out of bounds."""
+    area, short, long = c.expected
+    sides = sorted((blob["right"] - blob["left"] + 1, blob["bottom"] - blob["top"] + 1))
+    off = max(abs(sides[0] / short - 1), abs(sides[1] / long - 1))
+    fits = c.area_ratio[0] <= blob["area"] / area <= c.area_ratio[1] and off <= c.side_delta
+    return min(1.0, max(0.0, 1 - off)) if fits else None
+
+
+def camera_moved(planes: np.ndarray, c: MotionConfig) -> bool:
+    """Upper median or largest shift between neighbouring planes over its limit; planes too small for the search don't tell."""
+    if len(planes) < 2 or min(planes[0].shape) <= 6:
+        return False
+    size = sorted(float(np.hypot(*dominant_shift(a, b))) for a, b in zip(planes, planes[1:]))
+    return size[len(size) // 2] > c.max_shift or size[-1] > c.max_single_shift
+
+
 def motion_detect(planes: np.ndarray, c: MotionConfig) -> tuple[str | None, list[list[dict]]]:
     """Blobs that differ from the temporal median, opened and closed, best six a frame by area and compactness."""
     if len(planes) < 3:
         return "INSUFFICIENT_FRAMES", []
-    shifts = [dominant_shift(a, b) for a, b in zip(planes, planes[1:])] if min(planes[0].shape) > 6 else []
-    if shifts and float(np.median([np.hypot(*s) for s in shifts])) > c.max_shift:
+    if camera_moved(planes, c):
         return "CAMERA_MOTION", []
     background, out = upper_median_plane(planes), []
     for p in planes:
         mask = closed(np.abs(p.astype(int) - background) >= c.foreground)
-        found = [b for b in components(mask) if c.min_area <= b["area"] <= c.max_area]
+        found = [b for b in components(mask) if c.min_area <= b["area"] <= c.max_area and (c.expected is None or expected_size_score(b, c) is not None)]
         out.append(sorted(found, key=lambda b: -(b["area"] ** 0.5 + 2 * b["compactness"]))[: c.keep])
     return None, out
 

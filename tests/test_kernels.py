@@ -191,3 +191,21 @@ def test_flight_edges(spark):
     r = {x.k: x for x in B.trajectory_summary(df, "k", "s", "a", "h", "w").collect()}
     assert (r[0].reason, r[2].reason, r[3].reason) == ("INVALID_LAUNCH", "INVALID_LAUNCH", "INVALID_AIR")
     assert (r[1].status, r[1].carry_m, r[0].carry_m) == ("OK", 0.0, None)
+
+
+def test_expected_ball_size():
+    c = I.MotionConfig(expected=(100.0, 10.0, 12.0))
+    blob = lambda area, w, h: {"area": area, "left": 3, "right": 2 + w, "top": 5, "bottom": 4 + h}
+    assert I.expected_size_score(blob(100, 12, 10), c) == 1.0
+    assert I.expected_size_score(blob(90, 10, 9), c) == pytest.approx(1 - 1 / 6)
+    assert I.expected_size_score(blob(100, 20, 10), c) == pytest.approx(1 - 2 / 3)
+    assert I.expected_size_score(blob(34, 10, 12), c) is None and I.expected_size_score(blob(251, 10, 12), c) is None
+    assert I.expected_size_score(blob(100, 25, 10), c) is None
+
+
+def test_one_large_shift_is_camera_motion():
+    plane = np.random.default_rng(4).integers(0, 256, (24, 24))
+    still = np.stack([plane] * 5)
+    jump = np.stack([plane, plane, plane, np.roll(plane, (2, 2), (0, 1)), np.roll(plane, (2, 2), (0, 1))])
+    assert not I.camera_moved(still, I.MotionConfig())
+    assert I.camera_moved(jump, I.MotionConfig(max_single_shift=2.0)) and not I.camera_moved(jump, I.MotionConfig())
