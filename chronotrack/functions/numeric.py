@@ -47,6 +47,11 @@ def half_even(x) -> Column:
     return F.rint(c(x)).cast("long")
 
 
+def half_away(x) -> Column:
+    """Nearest whole number as a double, halves away from zero; a negative number that rounds to zero keeps its sign."""
+    return F.signum(c(x)) * F.round(F.abs(c(x)), 0)
+
+
 def tidy(x, digits: int = 6) -> Column:
     """Rounded, without a negative zero."""
     return F.round(c(x), digits) + F.lit(0.0)

@@ -72,8 +72,8 @@ def key_value_lines(pairs: list[tuple[str, Column]]) -> Column:
 
 
 def one_decimal(x) -> Column:
-    """Number with one decimal."""
-    return F.format_string("%.1f", c(x))
+    """Number with one decimal; nan, inf and -inf by these names, null for null."""
+    return F.when(is_finite(x), F.format_string("%.1f", c(x))).otherwise(F.replace(F.lower(c(x).cast("string")), F.lit("infinity"), F.lit("inf")))
 
 
 def merge_distinct(a, b) -> Column:

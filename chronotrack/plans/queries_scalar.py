@@ -236,7 +236,7 @@ def disclosure_check(spark, d):
 
 @query("source_labels", "select s_suppkey, case s_nationkey%3 when 0 then 'UNKNOWN' when 1 then 'REALTIME' else 'OTHER' end as label, format('{:.1f}',round(s_acctbal/100)) as shown from supplier")
 def source_labels(spark, d):
-    return table(spark, d, "supplier").select("s_suppkey", T.format_label(F.col("s_nationkey") % 3, {0: "UNKNOWN", 1: "REALTIME"}, "OTHER").alias("label"), T.one_decimal(F.round(F.col("s_acctbal") / 100, 0)).alias("shown"))
+    return table(spark, d, "supplier").select("s_suppkey", T.format_label(F.col("s_nationkey") % 3, {0: "UNKNOWN", 1: "REALTIME"}, "OTHER").alias("label"), T.one_decimal(N.half_away(F.col("s_acctbal") / 100)).alias("shown"))
 
 
 @query("rounding_rules", "select event_id, cast(floor(value*4/2.0+0.5) as bigint) as half_up, cast(round_even(event_id/2.0,0) as bigint) as half_even from events")
