@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronotrack.llm._batches import parts
+from chronotrack.llm._batches import PART, parts, release
 from chronotrack.llm._components import connected_components
 from chronotrack.llm._skew import attach
 from chronotrack.llm._store import write_table
@@ -58,6 +58,7 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _digests(batches):
+    release()
     for b in batches:
         for part in parts(b, 1):
             found = [hashlib.md5(b" ".join((t or b"").translate(LOWER).split())).digest() for t in part.column(1).cast(pa.binary()).to_pylist()]
@@ -65,11 +66,14 @@ def _digests(batches):
 
 
 def _sketched(batches):
+    release()
     for b in batches:
         for part in parts(b, 2):
-            sets = [shingles(t or b"") for t in part.column(2).cast(pa.binary()).to_pylist()]
-            row = [k for k, s in enumerate(sets) if s]
-            found = [sketch(sets[k]) for k in row]
+            row, found = [], []
+            for k, t in enumerate(part.column(2).cast(pa.binary()).to_pylist()):
+                if some := shingles(t or b""):
+                    row.append(k)
+                    found.append(sketch(some))
             at, keys = pa.array(row, pa.int64()), np.concatenate([np.zeros(0, np.int64), *(k for k, _ in found)])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * BANDS), pa.array(keys))
             yield pa.record_batch([part.column(0).take(at), part.column(1).take(at), lists, pa.array([s for _, s in found], pa.binary())], names=["node", "comp", "keys", "sketch"])
@@ -99,17 +103,20 @@ def _between(table: pa.Table) -> pa.Table:
 
 
 def _verified(batches):
+    release()
     for b in batches:
-        keep = []
+        keep, size = [], 0
         kept: dict[bytes, set[bytes]] = {}
         left, right = b.column("value_a").cast(pa.binary()), b.column("value_b").cast(pa.binary())
         for k in range(b.num_rows):
-            if len(kept) > 50:
+            if len(kept) > 50 or size > PART // 2:
                 kept.clear()
+                size = 0
             x, y = left[k].as_py(), right[k].as_py()
             for text in (x, y):
                 if text not in kept:
                     kept[text] = shingles(text)
+                    size += len(text)
             if similar(kept[x], kept[y]):
                 keep.append(k)
         part = b.take(pa.array(keep, pa.int64()))

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronotrack.llm._batches import parts
+from chronotrack.llm._batches import forgettable, parts, release
 from chronotrack.llm._pieces import DEFAULT_MODEL, MARK, Pieces, code_points, full, units, utf8
 from chronotrack.llm._store import write_table
 
@@ -203,9 +203,12 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @functools.lru_cache(2)
 def encoder(model: str) -> Encoder:
+    release()
     return Encoder(Pieces.load(model))
 
 
+forgettable(encoder.cache_clear)
+
 def chunks(joined: str, size: int, longest: int) -> list[tuple[str, str]]:
     cuts = list(range(0, len(joined), size))
     if len(cuts) > 1 and len(joined) - cuts[-1] < longest:
