@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ BANDS, ROWS = 32, 5
 AGREE = 96
 #: A bucket of up to this many members is joined with itself; members of a larger one are compared in blocks of BLOCK.
 SMALL_BUCKET, BLOCK = 8, 256
+#: Shingles that are looked up together when two blocks are compared.
+TOGETHER = 1 << 18
 _random = np.random.default_rng(8)
 _FACTOR = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -85,21 +88,56 @@ def _likely(batches):
         yield b.select(["a", "b", "comp_a", "comp_b"]).filter(pa.array((x == y).sum(axis=1) >= AGREE))
 
 
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of both blocks that meet in a group; twice the same when a block meets itself."""
+    own, i, j = (table.column(c).to_numpy() for c in ("own", "i", "j"))
+    left = np.flatnonzero(own == i[0])
+    return left, left if j[0] == i[0] else np.flatnonzero(own != i[0])
+
+
 def _between(table: pa.Table) -> pa.Table:
-    """Likely pairs of different components between two blocks of a bucket, or inside one."""
-    node, comp, own, x = (table.column(c).to_numpy() for c in ("node", "comp", "own", "i"))
+    """Members of a bucket's two blocks (or of one) whose sketch agrees with one of a different component there."""
+    comp = table.column("comp").to_numpy()
     sig = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-    left = np.flatnonzero(own == x[0])
-    right = left if table.column("j")[0].as_py() == x[0] else np.flatnonzero(own != x[0])
-    out = [np.zeros((0, 2), np.int64)]
+    left, right = _sides(table)
+    close = np.zeros(len(comp), bool)
     for k in range(0, len(left), 64):
         some = left[k : k + 64]
-        p, q = np.nonzero((agreement(sig[some], sig[right]) >= AGREE) & (comp[some][:, None] != comp[right][None, :]))
-        out.append(np.stack([some[p], right[q]], axis=1))
-    a, b = np.concatenate(out).T
-    flip = node[a] > node[b]
-    a, b = np.where(flip, b, a), np.where(flip, a, b)
-    return pa.table([node[a], node[b], comp[a], comp[b]], names=["a", "b", "comp_a", "comp_b"])
+        met = (agreement(sig[some], sig[right]) >= AGREE) & (comp[some][:, None] != comp[right][None, :])
+        close[some] |= met.any(axis=1)
+        close[right] |= met.any(axis=0)
+    return table.select(GROUP).filter(pa.array(close))
+
+
+def _runs(rows: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows in runs of up to TOGETHER shingles, or of one row."""
+    cuts = np.flatnonzero(np.diff((np.cumsum(size[rows]) - size[rows]) // TOGETHER)) + 1
+    yield from np.split(rows, cuts)
+
+
+def _joined(table: pa.Table) -> pa.Table:
+    """Links between components by the similar pairs of two blocks: of all pairs, those that join what was not yet joined, so fewer than members."""
+    comp = table.column("comp").to_numpy()
+    found = []
+    for t in table.column("text").cast(pa.binary()):
+        some = shingles(t.as_py())
+        found.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, some), np.uint64, len(some))))
+    size = np.fromiter(map(len, found), np.int64, len(found))
+    top, out = comp.copy(), []
+    left, right = _sides(table)
+    for some in _runs(right, size) if len(left) and len(right) else ():
+        values, at = np.unique(np.concatenate([found[k] for k in some]), return_inverse=True)
+        starts = np.cumsum(size[some]) - size[some]
+        for a in left:
+            own = np.searchsorted(values, found[a]).clip(0, len(values) - 1)
+            mark = np.zeros(len(values), np.int32)
+            mark[own[values[own] == found[a]]] = 1
+            both = np.add.reduceat(mark.take(at), starts)
+            hit = some[(both >= SIMILARITY * (size[a] + size[some] - both)) & (top[some] != top[a])]
+            for other, k in zip(*np.unique(top[hit], return_index=True)):
+                out.append((comp[a], comp[hit[k]]))
+                top[top == other] = top[a]
+    return pa.table(list(np.array(out, np.int64).reshape(-1, 2).T), names=["a", "b"])
 
 
 def _verified(batches):
@@ -124,6 +162,7 @@ def _verified(batches):
 
 
 PAIR = ["a", "b", "comp_a", "comp_b"]
+GROUP = ["band", "key", "i", "j", "node", "comp", "own"]
 
 
 def _with(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
@@ -133,28 +172,41 @@ def _with(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
     return pairs.select(*PAIR, "value_a", "value_b")
 
 
-def _links(pairs: DataFrame, texts: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Edges between components: of the pairs (a, b, comp_a, comp_b) those whose sketches agree and whose texts reach SIMILARITY."""
+def _links(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, close: DataFrame | None = None) -> DataFrame:
+    """Edges between components: of the pairs (a, b, comp_a, comp_b) those whose sketches agree and whose texts reach SIMILARITY.
+
+    close: members of large buckets, see ``_close``; their pairs are formed and verified inside the kernel.
+    """
     kind = "a long, b long, comp_a long, comp_b long"
     pairs = write_table(pairs.select(*PAIR).distinct(), "near-pairs")
     likely = write_table(_with(pairs, sketches, "sketch").mapInArrow(_likely, kind), "near-likely")
-    ends = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
-    needed = write_table(texts.join(ends, "node", "left_semi").select("node", "text"), "near-needed")
-    return _with(likely, needed, "text").mapInArrow(_verified, "a long, b long").distinct()
-
-
-def _candidates(left: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket: small buckets are joined with themselves; of a large one only the pairs whose sketches agree leave the kernel."""
+    ends = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node")))
+    if close is not None:
+        close = write_table(close, "near-close")
+        ends = ends.union(close.select("node"))
+    needed = write_table(texts.join(ends.distinct(), "node", "left_semi").select("node", "text"), "near-needed")
+    found = _with(likely, needed, "text").mapInArrow(_verified, "a long, b long")
+    if close is not None:
+        found = found.union(close.join(needed, "node").groupBy("band", "key", "i", "j").applyInArrow(_joined, "a long, b long"))
+    return found.distinct()
+
+
+def _small(left: DataFrame) -> DataFrame:
+    """Pairs of different components that share a small bucket."""
     small = left.where(F.col("n") <= SMALL_BUCKET)
     x, y = (small.select("band", "key", F.col("node").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
-    pairs = x.join(y, ["band", "key"]).where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))).select(*PAIR)
+    return x.join(y, ["band", "key"]).where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))).select(*PAIR)
+
+
+def _close(left: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Members of large buckets, dealt into blocks that meet in pairs; of each meeting only those near to another component leave the kernel, without their pairs."""
     large = left.where(F.col("n") > SMALL_BUCKET).join(sketches.select("node", "sketch"), "node")
     blocks = F.ceil(F.col("n") / BLOCK)
     large = large.withColumn("own", F.pmod(F.xxhash64("node"), blocks))
     dealt = large.select("band", "key", "node", "comp", "sketch", "own", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    found = dealt.groupBy("band", "key", "i", "j").applyInArrow(_between, "a long, b long, comp_a long, comp_b long")
-    return pairs.union(found)
+    kind = "band int, key long, i long, j long, node long, comp long, own long"
+    return dealt.groupBy("band", "key", "i", "j").applyInArrow(_between, kind)
 
 
 def _merge(rows: DataFrame, merged: DataFrame) -> DataFrame:
@@ -171,8 +223,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts of equal words have equal fingerprints, so one stands for all. MinHash bands retrieve; in each bucket all
     members are first compared with its smallest, which joins groups of copies without pairs; then the members of a bucket
     that are still in different components are compared by their sketches, those of a large bucket in blocks dealt over
-    the tasks. Every link is verified on the texts. No words: no shingle, so
-    only SimHash links. Null ids keep their SimHash component.
+    the tasks. Every link is verified on the texts; in a large bucket all pairs are compared inside the kernel, and only
+    links that join components leave it. No words: no shingle, so only SimHash links. Null ids keep their SimHash
+    component.
     """
     base = write_table(simhash_components(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), "component_id"), "near-base")
     rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")).where(F.col("node").isNotNull())
@@ -193,7 +246,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = _merge(sketches.select("node", "comp", "keys"), write_table(connected_components(first), "near-parts"))
     keys = write_table(keys.select("node", "comp", F.posexplode("keys").alias("band", "key")), "near-keys")
     left = attach(keys, mixed(keys), ["band", "key"], "n", F.col("node")).where(F.col("n").isNotNull()).select("band", "key", "n", "node", "comp")
-    second = _links(_candidates(write_table(left, "near-left"), sketches), texts, sketches)
+    left = write_table(left, "near-left")
+    second = _links(_small(left), texts, sketches, _close(left, sketches))
     parts_of = connected_components(first.union(second))
     sizes = base.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"))
     moved = write_table(sizes.join(parts_of.withColumnRenamed("node", "component_id"), "component_id"), "near-moved")
