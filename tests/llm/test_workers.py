@@ -4,6 +4,7 @@ import pyarrow as pa
 
 from chronotrack.llm import _batches as B
 from chronotrack.llm import language_id as L
+from chronotrack.llm import lm_score as M
 from chronotrack.llm import near_dedup as N
 from chronotrack.llm import sentencepiece_scan as S
 from chronotrack.llm import simhash as H
@@ -20,6 +21,12 @@ def test_kernels_of_another_operator_forget_the_models():
     assert not L._scorers and S.encoder.cache_info().currsize == 0
 
 
+def test_release_forgets_the_language_model():
+    M._models["x"] = None
+    B.release()
+    assert not M._models
+
+
 def test_small_parts_give_the_same_rows(monkeypatch):
     ids = pa.array(range(len(TEXTS)), pa.int64())
     plain = lambda: [
