@@ -64,3 +64,53 @@ def test_starting_weights_see_all_training_rows(spark, monkeypatch):
     code = seen[0][1]
     assert all(k > 1 for _, k in known) and len(code.size) == len(known) + 2
     assert seen[0][0] == sum(int(code.size[i]) * k for i, (_, k) in enumerate(known)) + int(code.size[-1]) * n[M.END]
+
+
+def test_parts_that_are_scored_apart_are_looked_up_together(monkeypatch):
+    texts = [prose(random.Random(k), [f"w{i}" for i in range(60)], 3 + k % 9) for k in range(40)] + ODD
+    n = np.arange(30, 0, -1)
+    code = M.Code(np.concatenate((n, [5, 40])))
+    m = M.Model(pa.array([f"w{i}".encode() for i in range(30)], pa.binary()), n, 600, 61, 40, code)
+    rng = np.random.default_rng(5)
+    m.word = M.Predictors(code, rng.integers(0, 9, (2, 1 << M.WORD_BITS, 2)).astype(np.int32), M.WORD_BITS)
+    m.spell = M.Predictors(M.spell_code(), rng.integers(0, 9, (4, 1 << M.SPELL_BITS, 2)).astype(np.int32), M.SPELL_BITS)
+    calls, find = [], M.Model.find
+    monkeypatch.setattr(M.Model, "find", lambda self, flat: calls.append(len(flat)) or find(self, flat))
+    monkeypatch.setattr(M, "TOGETHER", 100)
+    batch = pa.record_batch([pa.array(texts)], names=["text"]).slice(1)
+    got = list(M.looked_up(m, [batch], 0))
+    assert len(got) > 5 and calls == [sum(len(M.words(t)) for t in texts[1:])]
+    assert sum((part.column(0).to_pylist() for part, *_ in got), []) == texts[1:]
+    for part, flat, size, symbols in got:
+        a, b = m.score(flat, size, symbols), m.score(*M.split(part.column(0)))
+        assert all(np.array_equal(a[k], b[k]) for k in a) and a["n"].tolist() == [len(M.words(t)) + 1 for t in part.column(0).to_pylist()]
+
+
+@pytest.mark.parametrize("held", [1, 1 << 20])
+def test_sorted_counting_equals_counting_one_by_one(monkeypatch, held):
+    monkeypatch.setattr(M, "HELD", held)
+    monkeypatch.setattr(M, "RUN", 16)
+    rng = np.random.default_rng(6)
+    code = M.Code(np.array([50, 20, 9, 4, 2], np.int64))
+    contexts, symbols = [rng.integers(0, 4, 100).astype(np.uint32) for _ in range(2)], rng.integers(0, 5, 100)
+    counts, want = np.zeros((2, 1 << 8, 2), np.int32), np.zeros((2, 1 << 8, 2), np.int32)
+    M.tally(contexts, code, symbols, 8, counts)
+    for at, node, bit in zip(*code.expand(symbols)):
+        for k, c in enumerate(contexts):
+            want[k, M._slot(c[at : at + 1], np.array([node]), 8)[0], bit] += 1
+    assert np.array_equal(counts, want)
+    M.tally([c[:0] for c in contexts], code, symbols[:0], 8, counts)
+    M._add(np.zeros(0, np.uint32), counts[0].reshape(-1))
+    assert np.array_equal(counts, want)
+
+
+def test_words_are_counted_whole_when_they_leave_early(spark, monkeypatch):
+    texts = [prose(random.Random(k), [f"w{i}" for i in range(60)], 5) for k in range(30)] + ODD
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = {}
+    for w in (w for t in texts for w in [*M.words(t), M.END]):
+        want[w] = want.get(w, 0) + 1
+    for name, size in (("CACHE", 40), ("COUNTED", 200)):
+        monkeypatch.setattr(M, name, size)
+        assert {bytes(r.word): r.n for r in M.count_words(docs.repartition(3)).collect()} == want
+    assert M.count_words(docs.limit(0)).collect() == []
